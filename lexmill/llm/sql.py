@@ -1 +1,59 @@
-ORACLES: dict[str, str] = {}
+"""Equivalent SQL of the queries here that SQL can express."""
+
+_LATEST = """
+latest as (
+  select article_id, arg_max(txt, (loaded_at, txt)) as txt
+  from (select article_id, loaded_at, coalesce(array_to_string(plain_text_paragraphs, ' '), '') as txt from article)
+  group by article_id),
+tokens as (
+  select article_id, unnest(regexp_extract_all(lower(txt), '[a-z0-9]+')) as term from latest),
+tf as (
+  select article_id, term, count(*) as tf from tokens
+  where term not in ('the','a','an','and','or','is','are','of','to','in','for','on','with','as','by','at')
+  group by article_id, term),
+n as (select count(distinct article_id) as n from article)"""
+
+_CURRENT = """
+current as (
+  select term, article, arg_max(coalesce(tf_idf_score, 'nan'::double), (indexed_at, posting_id)) as score
+  from inverted_index group by term, article)"""
+
+_ENTROPY = """
+terms as (
+  select term, count(*) as df, sum(tf) as gf, sum(tf * ln(tf)) as s from tf group by term),
+weighted as (
+  select article_id, term, tf, df,
+         ln(1 + tf) * (1 - least(1.0, greatest(0.0, (ln(gf) - s / gf) / ln(n)))) as log_entropy, tf * ln(n / df) as tf_idf
+  from tf join terms using (term), n)"""
+
+
+def _best(weight: str, columns: str) -> str:
+    return f"""with {_LATEST}, {_ENTROPY},
+ranked as (
+  select article_id, term, round({weight}, 6) as weight,
+         row_number() over (partition by article_id order by round({weight}, 6) desc, term) as rn from weighted)
+select {columns} from ranked where rn = 1"""
+
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""with {_LATEST},
+df as (select term, count(*) as df from tf group by term)
+select term, case when df <= 2 then 'rare' else 'common' end as mark from df, n where df <= 2 or df > 0.25 * n""",
+    "p1_vocabulary": f"""with {_LATEST},
+df as (select term, sum(tf)::bigint as occurrences, count(*) as document_frequency from tf group by term)
+select term, coalesce(occurrences, 0) as occurrences, coalesce(document_frequency, 0) as document_frequency,
+       case when document_frequency <= 2 then 'rare' when document_frequency > 0.25 * n then 'common' end as mark,
+       v.document_frequency as stored_df, round(v.idf_value, 6) as stored_idf, round(ln(n / d.document_frequency), 6) as idf,
+       case when d.term is null then 'orphan' when v.term is null then 'missing' when v.document_frequency = d.document_frequency then 'same' else 'lags' end as state
+from df d full join vocabulary v using (term), n""".replace("coalesce(document_frequency, 0)", "coalesce(d.document_frequency, 0)").replace("when document_frequency", "when d.document_frequency"),
+    "p2_found": f"""with {_CURRENT},
+ranked as (select term, article, row_number() over (partition by term order by score desc, article) as rn from current where not isnan(score))
+select term, article from ranked where rn <= 5""",
+    "p2_ranked": f"""with {_CURRENT},
+ranked as (select term, article, score, row_number() over (partition by term order by score desc, article) as rn from current where not isnan(score))
+select term, rn::int as rank, article, round(score, 6) as score from ranked where rn <= 20""",
+    "p6_found": _best("tf_idf", "article_id, term"),
+    "p6_log_entropy": _best("log_entropy", "article_id, term, weight"),
+    "p6_weights": f"""with {_LATEST}, {_ENTROPY}
+select article_id, term, tf::int as tf, df, round(log_entropy, 5) as log_entropy, round(tf_idf, 5) as tf_idf from weighted""",
+}
