@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import encode, packing, titles, top_n, vocabulary, weights
+from lexmill.llm import encode, packing, subjects, titles, top_n, vocabulary, weights
 from lexmill.session import ship_package, table
 
 
@@ -70,7 +70,19 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(packing.pack_documents(table(spark, d, "documents")))
 
 
-NAMES = (p1_found, p1_vocabulary, p2_found, p2_ranked, p4_found, p4_titles, p4_unmatched, p6_found, p6_log_entropy, p6_weights, p7_ids, p7_token_counts, p8_assignments, p8_containers)
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_area"), table(spark, d, "subject_label"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, d), table(spark, d, "documents").count())
+
+
+NAMES = (p1_found, p1_vocabulary, p2_found, p2_ranked, p4_found, p4_titles, p4_unmatched, p6_found, p6_log_entropy, p6_weights, p7_ids, p7_token_counts, p8_assignments, p8_containers, p9_found, p9_composition)
 
 
 def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
