@@ -40,8 +40,9 @@ MIN_DF = 3
 DOCUMENT_COSINE, SENTENCE_COSINE = 0.5, 0.42
 #: Share of a document's sentences from which an area holds for it.
 SHARE = 0.25
-#: Languages with centroids of their own, the most frequent among the labels; all others share one.
-MAX_LANGUAGES = 40
+#: Languages with centroids: those of at least this share of the labelled documents. Documents of any language are
+#: assigned; a label of a document in none of these seeds nothing.
+LANGUAGE_SHARE = 0.02
 
 
 # --- text ---
@@ -292,21 +293,21 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, ran
 
     # seeds
     lower = {s.lower().strip(): i for i, s in enumerate(names)}
-    spoken = indexed.where("area is not null and lang <> ''").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    languages = [*[r["lang"] for r in spoken.collect()], ""]
+    spoken = {r["lang"]: r["count"] for r in indexed.where("area is not null").groupBy("lang").count().collect()}
+    languages = sorted(x for x, c in spoken.items() if x and c >= LANGUAGE_SHARE * sum(spoken.values())) or [""]
     slots = spark.createDataFrame([(a, s, i * len(languages) + j) for a, i in lower.items() for j, s in enumerate(languages)], T.StructType([T.StructField("area", T.StringType()), T.StructField("slot_lang", T.StringType()), T.StructField("seed", T.IntegerType())]))
-    lang = F.when(F.col("lang").isin(languages), F.col("lang")).otherwise(F.lit(""))
+    lang = F.lit("") if languages == [""] else F.col("lang")
     seeded = indexed.where("area is not null").withColumn("slot_lang", lang).join(F.broadcast(slots), ["area", "slot_lang"]).select("terms", "seed")
     size = (len(names) * len(languages), rank)
     model = {"idf": idf, "basis": basis}
     centroids = _summed(seeded, _add_seeds, size, share_out(model))
-    english = languages.index("en") if "en" in languages else len(languages) - 1
+    described = languages.index("en") if "en" in languages else 0
     slot, read = {t: i for i, t in enumerate(terms)}, Sentences()
     for r in areas.where("subject is not null").collect():
         known = [slot[w] for w in read.terms(f"{r['subject']} {r['description'] or ''}") if w in slot]
         if known:
             x = _weighted(np.array(known), np.zeros(len(known), int), 1, idf)
-            centroids[names.index(r["subject"]) * len(languages) + english] += _unit(x @ basis)[0]
+            centroids[names.index(r["subject"]) * len(languages) + described] += _unit(x @ basis)[0]
     alive = np.flatnonzero(np.linalg.norm(centroids, axis=1) > 0)
     if not len(alive):
         return none
