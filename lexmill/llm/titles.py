@@ -1,10 +1,10 @@
 """Mapping freely typed titles to a canonical list, by SQL alone.
 
 Titles are first brought to a plain form (encoding, case, accents, wrapping, order, abbreviations undone). A
-partition-based pigeonhole join then finds the entries within ``k`` edits: an entry's form is cut into ``k + 1``
-segments, of which one must occur unchanged in any value within ``k`` edits, at a position shifted by ``k`` at most. Equality
-joins on these positional substrings give the candidates, the built-in ``levenshtein`` verifies them, and an anti-join
-reports what is left.
+partition-based pigeonhole join then finds the entries within ``k`` edits, a swap of two neighbours being one: an entry's
+form is cut into ``k + 1`` segments with one letter between them, so that no edit touches two of them and one must occur
+unchanged in any value within ``k`` edits, at a position shifted by the edits before it. Equality joins on these positional
+substrings give the candidates, the built-in ``levenshtein`` verifies them, and an anti-join reports what is left.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators.skew import heavy_keys, skew_join
+from lexmill.session import materialise
 
-#: Edits bridged by the pigeonhole join. A swap of two neighbours is two of them.
-EDITS = 2
+#: Edits bridged by the pigeonhole join.
+EDITS = 1
 #: The segments of the list are broadcast if it has at most so many entries, else joined by a shuffle.
 MAX_BROADCAST_ENTRIES = 100_000
 
@@ -88,46 +89,43 @@ def forms(value: Column) -> Column:
     return F.filter(both, lambda f: F.length(f["text"]) > 0)
 
 
-def _segments(text: Column, k: int) -> Column:
-    """``ARRAY<STRUCT<part, seg>>``: the ``k + 1`` segments, as even as can be, the shorter ones first."""
-    n = F.length(text)
-    size = F.floor(n / F.lit(k + 1)).cast("int")
-    long = (n % F.lit(k + 1)).cast("int")
-    parts = []
-    for i in range(k + 1):
-        extra = F.greatest(F.lit(0), F.lit(i) - (F.lit(k + 1) - long))
-        length = size + F.when(F.lit(i) >= F.lit(k + 1) - long, 1).otherwise(0)
-        parts.append(F.struct(F.lit(i).alias("part"), F.substring(text, (size * i + extra + 1).cast("int"), length.cast("int")).alias("seg")))
-    return F.array(*parts)
+def _cuts(length: str, part: str, k: int) -> tuple[str, str]:
+    """SQL for the start (from 0) and the size of a segment of a form of this ``length``; the first segments are longer."""
+    room = f"({length} - {k})"  # without the letters between
+    size = f"({room} div {k + 1} + if({part} < {room} % {k + 1}, 1, 0))"
+    start = f"({part} * ({room} div {k + 1} + 1) + least({part}, {room} % {k + 1}))"
+    return start, size
 
 
-def _probes(text: Column, k: int) -> Column:
-    """``ARRAY<STRUCT<len, part, seg>>``: the substrings of a value that may equal a segment of an entry of length ``len``.
+def _with_segments(listed: DataFrame, k: int) -> DataFrame:
+    """The entries, once for each of their segments: ``(catalog_id, form, entry, len, part, seg)``."""
+    start, size = _cuts("len", "part", k)
+    rows = listed.withColumn("len", F.length("entry")).where(F.col("len") >= 2 * k + 2).withColumn("part", F.explode(F.array(*map(F.lit, range(k + 1)))))
+    return rows.withColumn("seg", F.expr(f"substring(entry, cast({start} as int) + 1, cast({size} as int))"))
 
-    The start lies within the shifts that leave the edits on both sides of the segment at ``k`` or fewer in all.
+
+def _with_probes(typed: DataFrame, k: int) -> DataFrame:
+    """The values, once for each substring that may be a segment: ``(value, form, text, len, part, seg)``.
+
+    For an entry ``delta`` letters longer, a segment shifted by ``shift`` takes ``|shift|`` edits before it and
+    ``|delta + shift|`` after it; nothing lies before the first segment, and nothing after the last.
     """
-    n = F.length(text)
-    out = []
-    for delta in range(-k, k + 1):
-        m = n + F.lit(delta)  # length of the entry
-        size = F.floor(m / F.lit(k + 1)).cast("int")
-        long = (m % F.lit(k + 1)).cast("int")
-        for i in range(k + 1):
-            extra = F.greatest(F.lit(0), F.lit(i) - (F.lit(k + 1) - long))
-            length = (size + F.when(F.lit(i) >= F.lit(k + 1) - long, 1).otherwise(0)).cast("int")
-            start = size * i + extra  # of the segment in the entry, from 0
-            for shift in range(-k, k + 1):
-                # shift moves the start, -delta - shift the rest: both cost edits
-                if abs(shift) + abs(-delta - shift) > k:
-                    continue
-                at = (start + F.lit(shift)).cast("int")
-                fits = (at >= 0) & (at + length <= n) & (length > 0) & (m > 0)
-                out.append(F.when(fits, F.struct(m.cast("int").alias("len"), F.lit(i).alias("part"), F.substring(text, at + 1, length).alias("seg"))))
-    return F.array_distinct(F.filter(F.array(*out), lambda p: p.isNotNull()))
+    ways = [
+        (delta, part, shift)
+        for delta in range(-k, k + 1)
+        for part in range(k + 1)
+        for shift in range(-k, k + 1)
+        if abs(shift) + abs(delta + shift) <= k and (part > 0 or shift == 0) and (part < k or shift == -delta)
+    ]
+    way = F.explode(F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(p).alias("part"), F.lit(s).alias("shift")) for d, p, s in ways])).alias("w")
+    start, size = _cuts("len", "part", k)
+    rows = typed.select("value", "form", "text", way).select("value", "form", "text", (F.length("text") + F.col("w.delta")).alias("len"), "w.part", "w.shift").where(F.col("len") >= 2 * k + 2)
+    rows = rows.withColumn("at", F.expr(f"cast({start} + shift as int)")).withColumn("size", F.expr(f"cast({size} as int)"))
+    return rows.where("at >= 0 and at + size <= length(text)").select("value", "form", "text", "len", "part", F.expr("substring(text, at + 1, size)").alias("seg"))
 
 
 def _is_swap(a: Column, b: Column) -> Column:
-    """Whether two strings of one length with a distance of 2 differ by two letters swapped."""
+    """Whether two strings with a distance of 2 are of the same letters, hence differ by two letters swapped."""
     return (F.length(a) == F.length(b)) & F.array_sort(F.split(a, "")).eqNullSafe(F.array_sort(F.split(b, "")))
 
 
@@ -137,23 +135,23 @@ def match_values(values: DataFrame, catalog: DataFrame, k: int = EDITS, max_broa
     ``values(value)`` without repeats or nulls, ``catalog(catalog_id, title)``. A value equal to a title denotes it at
     distance 0. Otherwise the closest entry counts, in either form: one edit or one swap of neighbours is distance 1 (0: only
     the writing differs). Values whose closest entries are several, or that have none, have no row here. Forms shorter
-    than ``k + 2`` letters are only compared for equality, as anything that short is close to anything.
+    than ``2 k + 2`` letters are only compared for equality, as anything that short is close to anything.
     """
     entries = catalog.where("catalog_id is not null and title is not null").select("catalog_id", "title").dropDuplicates(["title"])
     small = entries.limit(max_broadcast + 1).count() <= max_broadcast
     hint = F.broadcast if small else (lambda df: df)
-    equal = values.join(hint(entries), values.value == entries.title).select("value", "catalog_id", F.lit(0).alias("distance"), F.lit(0).alias("form"))
+    equal = values.join(hint(entries), values.value == entries.title).select("value", "catalog_id", F.lit(0).alias("distance"))
     other = values.join(hint(entries.select(F.col("title").alias("value"))), "value", "left_anti")
-    listed = entries.select("catalog_id", F.explode(forms(F.col("title"))).alias("f")).select("catalog_id", "f.form", F.col("f.text").alias("entry"))
-    typed = other.select("value", F.explode(forms(F.col("value"))).alias("f")).select("value", "f.form", F.col("f.text").alias("text"))
-    same = typed.join(hint(listed.withColumnRenamed("entry", "text")), ["form", "text"]).select("value", "catalog_id", F.lit(0).alias("distance"), "form")
-    cut = listed.where(F.length("entry") >= k + 2).withColumn("s", F.explode(_segments(F.col("entry"), k))).select("catalog_id", "form", "entry", F.length("entry").alias("len"), "s.part", "s.seg")
-    asked = typed.where(F.length("text") >= k + 2).select("value", "form", "text", F.explode(_probes(F.col("text"), k)).alias("p")).select("value", "form", "text", "p.len", "p.part", "p.seg")
-    pairs = asked.join(hint(cut), ["form", "len", "part", "seg"]).withColumn("d", F.levenshtein("text", "entry", k)).where("d > 0")
-    near = pairs.where((F.col("d") == 1) | ((F.col("d") == 2) & _is_swap(F.col("text"), F.col("entry")))).select("value", "catalog_id", F.lit(1).alias("distance"), "form")
+    listed = materialise(entries.select("catalog_id", F.explode(forms(F.col("title"))).alias("f")).select("catalog_id", "f.form", F.col("f.text").alias("entry")), "p4-entries")
+    # written out: the forms are dear, and are read twice
+    typed = materialise(other.select("value", F.explode(forms(F.col("value"))).alias("f")).select("value", "f.form", F.col("f.text").alias("text")), "p4-forms")
+    same = typed.join(hint(listed.withColumnRenamed("entry", "text")), ["form", "text"]).select("value", "catalog_id", F.lit(0).alias("distance"))
+    pairs = _with_probes(typed, k).join(hint(_with_segments(listed, k)), ["form", "len", "part", "seg"]).withColumn("d", F.levenshtein("text", "entry", k + 1)).where("d > 0")
+    distance = F.when(F.col("d") <= k, F.col("d")).when((F.col("d") == 2) & _is_swap(F.col("text"), F.col("entry")), F.lit(1))
+    near = pairs.select("value", "catalog_id", distance.alias("distance")).where("distance is not null")
     found = reduce(DataFrame.unionByName, [equal, same, near]).groupBy("value", "distance").agg(F.min("catalog_id").alias("catalog_id"), F.max("catalog_id").alias("last"))
     best = found.groupBy("value").agg(F.min("distance").alias("distance"), F.min_by("catalog_id", "distance").alias("catalog_id"), F.min_by("last", "distance").alias("last"))
-    return best.where("catalog_id = last").select("value", "catalog_id", "distance")
+    return materialise(best.where("catalog_id = last").select("value", "catalog_id", "distance"), "p4-matches")
 
 
 def typed_titles(links: DataFrame, articles: DataFrame) -> DataFrame:
