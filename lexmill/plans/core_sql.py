@@ -201,7 +201,7 @@ far as (
   select f.qa_id, min(l.link_id) as place, any_value(s.n_tokens) as n_tokens from internal_link l join first f on f.from_article = l.from_article join sized s on s.article_id = l.to_article group by f.qa_id, l.to_article),
 run as (select qa_id, sum(n_tokens) over (partition by qa_id order by place rows unbounded preceding) as so_far from far),
 joined as (select qa_id, cap, supporting_tokens, so_far from status cross join (select unnest([{', '.join(map(str, CAPS))}]) as cap) left join run using (qa_id) where status = 'processed')
-select qa_id, cap::bigint as cap, count_if(supporting_tokens + so_far <= cap)::bigint as n_distractors,
+select qa_id, cap::bigint as cap, count_if(coalesce(supporting_tokens + so_far <= cap, false))::bigint as n_distractors,
   (any_value(supporting_tokens) + coalesce(max(case when supporting_tokens + so_far <= cap then so_far end), 0))::bigint as context_size from joined group by 1, 2""",
     "db_summary": f"""with {ART} select (select count(*) from art) as n_articles, (select count(*) from internal_link) as n_links, (select count(*) from internal_link where to_article is null) as n_unresolved,
   (select round(coalesce(avg({SIZE}), 0), 6) from (select * from art order by article_id limit 1000)) as avg_paragraphs""",
