@@ -38,6 +38,8 @@ TERM_PER = 2000
 MIN_DF = 3
 #: Cosines from which a document counts for a centroid, and a sentence for an area.
 DOCUMENT_COSINE, SENTENCE_COSINE = 0.5, 0.42
+#: Length, against its whole length, that a sentence must have within the span of the centroids; neutral ones have less.
+SENTENCE_LENGTH = 0.2
 #: Share of a document's sentences from which an area holds for it.
 SHARE = 0.25
 #: Languages with centroids: those of at least this share of the labelled documents. Documents of any language are
@@ -58,7 +60,7 @@ class Sentences:
         self.broken = regex.compile("[ÂÃâ][^\\x00-\\x7f]{1,2}")
         self.unseen = regex.compile(r"[^\P{C}\n\t\r]|[  ]").sub
         self.wrapped = regex.compile(r"(?<=\p{L})-\r?\n(?=\p{Ll})").sub
-        self.parts = regex.compile(r"\r?\n\s*\n|(?<!\bSt)(?<=[.!?])[\"”»’)\]]*(?:\s+|(?=[\p{Lu}“«]))").split
+        self.parts = regex.compile(r"\r?\n\s*\n|(?<!\bSt\.)(?<=[.!?])[\"”»’)\]]*(?:\s+|(?=[\p{Lu}“«]))").split
         self.ended = regex.compile(r"[.!?][\"”»’)\]]*$").search
         self.marks = regex.compile(r"\p{M}").sub
         self.words = regex.compile(r"\p{L}{2,}").findall
@@ -241,9 +243,11 @@ def _assign(shared):
                         first = np.flatnonzero(np.diff(sentence, prepend=-1))
                         # terms x rank in steps, so that a very long text stays small
                         e = np.concatenate([np.add.reduceat(vectors[term[a:b]], first[i : i + 2000] - a, axis=0) for i in range(0, len(first), 2000) for a, b in [(first[i], first[i + 2000] if i + 2000 < len(first) else len(term))]])
-                        cosine = _unit(e @ axes) @ model["centred"].T
+                        inside = e @ axes
+                        cosine = _unit(inside) @ model["centred"].T
                         best = cosine.argmax(1)
-                        about = areas[best[cosine[np.arange(len(best)), best] >= SENTENCE_COSINE]]
+                        clear = np.linalg.norm(inside, axis=1) >= SENTENCE_LENGTH * np.linalg.norm(e, axis=1)
+                        about = areas[best[clear & (cosine[np.arange(len(best)), best] >= SENTENCE_COSINE)]]
                         counts = np.bincount(about[about >= 0], minlength=len(names))
                     for area in np.flatnonzero(counts >= model["share"] * len(cut)):
                         ids.append(doc_id), subjects.append(names[area]), shares.append(counts[area] / len(cut)), sizes.append(len(cut))
@@ -322,12 +326,9 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, ran
             moved = np.linalg.norm(sums, axis=1) > 0
             centroids[moved] = _unit(sums[moved])
 
-    refine()
     for _ in range(OUTSIDE_PASSES):
         sums = _summed(indexed.select("terms"), _add_outside, (len(languages), rank), share_out(model | {"centroids": centroids, "axes": _axes(centroids), "language": language}))
         new = np.flatnonzero(np.linalg.norm(sums, axis=1) > 2)
-        if not len(new):
-            break
         centroids = np.vstack([centroids, _unit(sums[new])])
         area, language = np.concatenate([area, np.full(len(new), -1)]), np.concatenate([language, new])
         refine()

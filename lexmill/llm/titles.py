@@ -124,9 +124,12 @@ def _with_probes(typed: DataFrame, k: int) -> DataFrame:
     return rows.where("at >= 0 and at + size <= length(text)").select("value", "form", "text", "len", "part", F.expr("substring(text, at + 1, size)").alias("seg"))
 
 
-def _is_swap(a: Column, b: Column) -> Column:
-    """Whether two strings with a distance of 2 are of the same letters, hence differ by two letters swapped."""
-    return (F.length(a) == F.length(b)) & F.array_sort(F.split(a, "")).eqNullSafe(F.array_sort(F.split(b, "")))
+def _is_swap(a: str, b: str) -> Column:
+    """Whether two strings of one length differ by two neighbours swapped, and by nothing else."""
+    return F.expr(
+        f"length({a}) = length({b}) and exists(array(array_position(transform(sequence(1, length({a})), i -> substring({a}, i, 1) <> substring({b}, i, 1)), true)),"
+        f" i -> i > 0 and concat(substring({a}, 1, cast(i as int) - 1), substring({a}, cast(i as int) + 1, 1), substring({a}, cast(i as int), 1), substring({a}, cast(i as int) + 2)) = {b})"
+    )
 
 
 def match_values(values: DataFrame, catalog: DataFrame, k: int = EDITS, max_broadcast: int = MAX_BROADCAST_ENTRIES) -> DataFrame:
@@ -147,7 +150,7 @@ def match_values(values: DataFrame, catalog: DataFrame, k: int = EDITS, max_broa
     typed = materialise(other.select("value", F.explode(forms(F.col("value"))).alias("f")).select("value", "f.form", F.col("f.text").alias("text")), "p4-forms")
     same = typed.join(hint(listed.withColumnRenamed("entry", "text")), ["form", "text"]).select("value", "catalog_id", F.lit(0).alias("distance"))
     pairs = _with_probes(typed, k).join(hint(_with_segments(listed, k)), ["form", "len", "part", "seg"]).withColumn("d", F.levenshtein("text", "entry", k + 1)).where("d > 0")
-    distance = F.when(F.col("d") <= k, F.col("d")).when((F.col("d") == 2) & _is_swap(F.col("text"), F.col("entry")), F.lit(1))
+    distance = F.when(F.col("d") <= k, F.col("d")).when((F.col("d") == 2) & _is_swap("text", "entry"), F.lit(1))
     near = pairs.select("value", "catalog_id", distance.alias("distance")).where("distance is not null")
     found = reduce(DataFrame.unionByName, [equal, same, near]).groupBy("value", "distance").agg(F.min("catalog_id").alias("catalog_id"), F.max("catalog_id").alias("last"))
     best = found.groupBy("value").agg(F.min("distance").alias("distance"), F.min_by("catalog_id", "distance").alias("catalog_id"), F.min_by("last", "distance").alias("last"))

@@ -1,0 +1,25 @@
+"""The training-data queries against their SQL on the smallest tables; those without SQL must run."""
+
+import pytest
+from compare import compare
+
+from lexmill.llm import queries as llm
+
+QUERIES, SQL = llm.queries(), llm.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, sf, duck, name):
+    df = QUERIES[name](spark, sf)
+    if name in SQL:
+        assert compare(df, duck, SQL[name]) == ""
+    else:
+        assert df.count() > 0
+
+
+@pytest.mark.parametrize(
+    ("name", "columns"),
+    [("p1_found", ["term", "mark"]), ("p2_found", ["term", "article"]), ("p4_found", ["src_table", "row_id", "catalog_id"]), ("p6_found", ["article_id", "term"]), ("p7_ids", ["doc_id", "ids"]), ("p9_found", ["doc_id", "subject"])],
+)
+def test_columns(spark, sf, name, columns):
+    assert QUERIES[name](spark, sf).columns == columns
