@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.skew import heavy_keys, skew_join
+from lexmill.session import materialise
 
 #: Reference field -> name space of its key.
 FIELDS = {"from_article": "article", "from_page_id": "page", "to_article": "article", "to_title": "title"}
@@ -49,16 +50,13 @@ def existence_deltas(articles: DataFrame, deletions: DataFrame) -> DataFrame:
 
     One article counts for its id, its page id and its title. Null page ids and titles name nothing.
     """
-    changes = article_changes(articles, deletions)
-    parts = []
+    gained, lost = [], []
     for space, new, old in (("article", "article_id", "article_id"), ("page", "page_id", "old_page"), ("title", "title", "old_title")):
         moved = f"not ({new} <=> {old})" if space != "article" else "false"
-        pair = F.expr(
-            f"filter(array(if(alive and (not was or {moved}), named_struct('key', cast({new} as string), 'delta', 1), null),"
-            f" if(was and (not alive or {moved}), named_struct('key', cast({old} as string), 'delta', -1), null)), x -> x.key is not null)"
-        )
-        parts.append(changes.select(F.lit(space).alias("space"), "ts", F.explode(pair).alias("d")).select("space", F.col("d.key").alias("key"), "ts", F.col("d.delta").cast("long").alias("delta")))
-    return reduce(DataFrame.unionByName, parts)
+        gained.append(f"if(alive and (not was or {moved}), named_struct('space', '{space}', 'key', cast({new} as string), 'delta', 1L), null)")
+        lost.append(f"if(was and (not alive or {moved}), named_struct('space', '{space}', 'key', cast({old} as string), 'delta', -1L), null)")
+    steps = F.expr(f"filter(array({', '.join(gained + lost)}), x -> x.key is not null)")
+    return article_changes(articles, deletions).select("ts", F.explode(steps).alias("d")).select("d.space", "d.key", "ts", "d.delta")
 
 
 def existence_switches(deltas: DataFrame) -> DataFrame:
@@ -92,7 +90,7 @@ def check_references(links: DataFrame, articles: DataFrame, deletions: DataFrame
     references. Empty tables give no rows (no articles: every reference is an orphan). Hot targets are joined by
     :func:`~lexmill.operators.skew.skew_join`, which broadcasts only the switch times of the few heaviest keys.
     """
-    switches = existence_switches(existence_deltas(articles, deletions))
+    switches = materialise(existence_switches(existence_deltas(articles, deletions)), "switches")
     once = first_links(links)
     _, heavy = heavy_keys(links, *FIELDS)
     parts = []
