@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import ship_package
+
 #: Where the vocabulary lies; read by the driver, broadcast to the executors (under 1 MB).
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the tokenizer cuts texts into words.
@@ -200,6 +202,7 @@ def _prepared(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _shared(documents: DataFrame, tokenizer: str):
+    ship_package(documents.sparkSession)
     with open(tokenizer, "rb") as file:
         return documents.sparkSession.sparkContext.broadcast(file.read())
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.session import materialise
+from lexmill.session import materialise, ship_package
 
 #: Singular vectors kept.
 RANK = 128
@@ -111,10 +111,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _index(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = {t: i for i, t in enumerate(shared.value)}
+        import pyarrow.compute as pc
+
+        known = pa.array(shared.value, pa.string())
         for batch in batches:
-            terms = [[slot.get(w, -1) for w in ws] for ws in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.int32())), batch.column(3)], names=["doc_id", "lang", "terms", "lens"])
+            words = batch.column(2)
+            slots = pc.fill_null(pc.index_in(words.values, value_set=known), -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(words.offsets, slots), batch.column(3)], names=["doc_id", "lang", "terms", "lens"])
 
     return run
 
@@ -122,26 +125,43 @@ def _index(shared):
 # --- matrices ---
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], n_terms: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Pieces of the batches with the term numbers of their documents and the document of each."""
-    rows = int(max(16, min(512, 4_000_000 // max(1, n_terms))))
     for whole in batches:
         for start in range(0, whole.num_rows, rows):
             batch = whole.slice(start, rows)
-            column = batch.column(batch.schema.get_field_index("terms"))
-            offsets = column.offsets.to_numpy()
-            flat = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            yield batch, flat, np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            flat, sizes = _flat(batch.column(batch.schema.get_field_index("terms")))
+            yield batch, flat, np.repeat(np.arange(batch.num_rows), sizes)
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column in a row, and the length of each list."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
-def _weighted(flat: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
-    """Documents x terms: (1 + ln tf) * idf, rows of length 1 (or 0 for documents without a term)."""
+def _dense(at: np.ndarray, term: np.ndarray, weight: np.ndarray | float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, term, weight) as a dense matrix over the terms that occur here, and these terms."""
+    used, column = np.unique(term, return_inverse=True)
+    x = np.zeros((n, len(used)), np.float32)
+    x[at, column] = weight
+    return x, used
+
+
+def _weighted(flat: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents x terms as (document, term, weight), by document: (1 + ln tf) * idf, each document of length 1."""
     known = flat >= 0
-    x = np.bincount(row[known] * len(idf) + flat[known], minlength=n * len(idf)).reshape(n, len(idf)).astype(np.float32)
-    at = x > 0
-    x[at] = 1 + np.log(x[at])
-    x *= idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    key, tf = np.unique(row[known] * len(idf) + flat[known], return_counts=True)
+    at, term = np.divmod(key, len(idf))
+    weight = ((1 + np.log(tf)) * idf[term]).astype(np.float32)
+    length = np.sqrt(np.bincount(at, weight**2, n)).astype(np.float32)
+    return at, term, weight / np.maximum(length[at], 1e-9)
+
+
+def _embedded(flat: np.ndarray, row: np.ndarray, n: int, model: dict) -> np.ndarray:
+    """The documents in the space of the basis, not yet of length 1."""
+    x, used = _dense(*_weighted(flat, row, n, model["idf"]), n)
+    return x @ model["basis"][used]
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -151,23 +171,21 @@ def _unit(m: np.ndarray) -> np.ndarray:
 _BLOCK = "block int, salt int, data binary"
 
 
-def _summed(documents: DataFrame, add: Callable, shape: tuple[int, int], *shared) -> np.ndarray:
-    """The sum over all documents of the matrices that ``add(total, batch, flat, row, *shared)`` adds up in each task.
+def _summed(documents: DataFrame, add: Callable, shape: tuple[int, int], spread: int, shared) -> np.ndarray:
+    """The sum over all documents of the matrices that ``add(total, batch, flat, row, model)`` adds up in each task.
 
-    Each task hands on its sum in blocks of about 1 MB; blocks are summed in two levels, so that no task gets more than
-    about the square root of the number of tasks of them.
+    Each task hands on its sum in blocks of about 1 MB; blocks are summed in two levels, first in ``spread`` parts, so that
+    no task gets more than about the square root of the number of tasks of them.
     """
-    n_terms = len(shared[0].value["idf"])
     height = max(1, 250_000 // max(1, shape[1]))
-    spread = max(1, math.isqrt(max(1, documents.rdd.getNumPartitions())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         total = np.zeros(shape, np.float32)
-        values = [s.value for s in shared]
-        for batch, flat, row in _chunks(batches, n_terms):
-            add(total, batch, flat, row, *values)
+        model = shared.value
+        for batch, flat, row in _chunks(batches):
+            add(total, batch, flat, row, model)
         starts = range(0, shape[0], height)
         salt = TaskContext.get().partitionId() % spread
         yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array([salt] * len(starts), pa.int32()), pa.array([total[s : s + height].tobytes() for s in starts], pa.binary())], names=["block", "salt", "data"])
@@ -187,20 +205,17 @@ def _summed(documents: DataFrame, add: Callable, shape: tuple[int, int], *shared
 
 
 def _add_power(total, batch, flat, row, model):
-    x = _weighted(flat, row, batch.num_rows, model["idf"])
-    total += x.T @ (x @ model["basis"])
+    x, used = _dense(*_weighted(flat, row, batch.num_rows, model["idf"]), batch.num_rows)
+    total[used] += x.T @ (x @ model["basis"][used])
 
 
 def _add_seeds(total, batch, flat, row, model):
     seed = batch.column(batch.schema.get_field_index("seed")).to_numpy(zero_copy_only=False)
-    at = np.flatnonzero(seed >= 0)
-    if len(at):
-        e = _unit(_weighted(flat, row, batch.num_rows, model["idf"])[at] @ model["basis"])
-        np.add.at(total, seed[at].astype(int), e)
+    np.add.at(total, seed.astype(int), _unit(_embedded(flat, row, batch.num_rows, model)))
 
 
 def _add_nearest(total, batch, flat, row, model):
-    e = _unit(_weighted(flat, row, batch.num_rows, model["idf"]) @ model["basis"])
+    e = _unit(_embedded(flat, row, batch.num_rows, model))
     cosine = e @ model["centroids"].T
     best = cosine.argmax(1)
     near = cosine[np.arange(len(best)), best] > DOCUMENT_COSINE
@@ -208,7 +223,7 @@ def _add_nearest(total, batch, flat, row, model):
 
 
 def _add_outside(total, batch, flat, row, model):
-    e = _unit(_weighted(flat, row, batch.num_rows, model["idf"]) @ model["basis"])
+    e = _unit(_embedded(flat, row, batch.num_rows, model))
     away = 1 - ((e @ model["axes"]) ** 2).sum(1)
     at = np.flatnonzero((away > OUTSIDE) & (np.abs(e).sum(1) > 0))
     np.add.at(total, model["language"][(e[at] @ model["centroids"].T).argmax(1)], e[at])
@@ -226,32 +241,31 @@ def _assign(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         vectors, axes, areas, names = model["basis"] * model["idf"][:, None], model["axes"], model["areas"], model["names"]
-        for whole in batches:
-            for start in range(0, whole.num_rows, 64):
-                batch = whole.slice(start, 64)
-                ids, subjects, shares, sizes = [], [], [], []
-                terms, lens = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                for doc_id, words, cut in zip(batch.column(0).to_pylist(), terms, lens, strict=True):
-                    if not cut:
-                        continue
-                    words = np.asarray(words)
-                    key = np.unique((np.repeat(np.arange(len(cut)), cut) << 32) | np.maximum(words, 0).astype(np.int64) | np.where(words < 0, 1 << 31, 0))
-                    key = key[(key & (1 << 31)) == 0]
-                    sentence, term = key >> 32, key & 0x7FFFFFFF
-                    counts = np.zeros(len(names), int)
-                    if len(term):
-                        first = np.flatnonzero(np.diff(sentence, prepend=-1))
-                        # terms x rank in steps, so that a very long text stays small
-                        e = np.concatenate([np.add.reduceat(vectors[term[a:b]], first[i : i + 2000] - a, axis=0) for i in range(0, len(first), 2000) for a, b in [(first[i], first[i + 2000] if i + 2000 < len(first) else len(term))]])
-                        inside = e @ axes
-                        cosine = _unit(inside) @ model["centred"].T
-                        best = cosine.argmax(1)
-                        clear = np.linalg.norm(inside, axis=1) >= SENTENCE_LENGTH * np.linalg.norm(e, axis=1)
-                        about = areas[best[clear & (cosine[np.arange(len(best)), best] >= SENTENCE_COSINE)]]
-                        counts = np.bincount(about[about >= 0], minlength=len(names))
-                    for area in np.flatnonzero(counts >= model["share"] * len(cut)):
-                        ids.append(doc_id), subjects.append(names[area]), shares.append(counts[area] / len(cut)), sizes.append(len(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(subjects, pa.string()), pa.array(shares, pa.float64()), pa.array(sizes, pa.int32())], names=["doc_id", "subject", "share", "n_sentences"])
+        n_terms, n_areas = len(vectors), len(names)
+        for batch, flat, row in _chunks(batches, 64):
+            lens, n_sentences = _flat(batch.column(3))
+            sentence = np.repeat(np.arange(len(lens)), lens)
+            of = np.repeat(np.arange(batch.num_rows), n_sentences)  # the document of each sentence
+            known = flat >= 0
+            where, term = np.divmod(np.unique(sentence[known] * n_terms + flat[known]), n_terms)
+            about = np.full(len(lens), -1)
+            for start in range(0, len(lens), 1000):  # sentences x terms in steps, so that very long texts stay small
+                a, b = np.searchsorted(where, [start, start + 1000])
+                x, used = _dense(where[a:b] - start, term[a:b], 1.0, min(1000, len(lens) - start))
+                e = x @ vectors[used]
+                inside = e @ axes
+                cosine = _unit(inside) @ model["centred"].T
+                best = cosine.argmax(1)
+                clear = (np.linalg.norm(inside, axis=1) >= SENTENCE_LENGTH * np.linalg.norm(e, axis=1)) & (cosine[np.arange(len(best)), best] >= SENTENCE_COSINE)
+                about[start : start + 1000] = np.where(clear, areas[best], -1)
+            told = about >= 0
+            counts = np.bincount(of[told] * n_areas + about[told], minlength=batch.num_rows * n_areas).reshape(-1, n_areas)
+            doc, area = np.nonzero((counts >= model["share"] * n_sentences[:, None]) & (counts > 0))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[doc], pa.int64()), pa.array([names[k] for k in area], pa.string()), pa.array(counts[doc, area] / n_sentences[doc]), pa.array(n_sentences[doc], pa.int32())],
+                names=["doc_id", "subject", "share", "n_sentences"],
+            )
 
     return run
 
@@ -269,6 +283,7 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, ran
     harm. Without labels the descriptions alone are seeds. Empty tables give no row. Repeated documents each get rows.
     """
     spark = documents.sparkSession
+    ship_package(spark)
     none = spark.createDataFrame([], _RESULT)
     cores = spark.sparkContext.defaultParallelism
     rows = documents.select("doc_id", F.regexp_extract(F.lower(F.trim(F.coalesce("lang", F.lit("")))), "^([a-z]{2})(?![a-z])", 1).alias("lang"), F.col("text").cast("binary").alias("text"))
@@ -289,11 +304,13 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, ran
     own = labels.select("doc_id", F.lower(F.trim("subject")).alias("area")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("area").alias("area")).where("n = 1").drop("n")
     indexed = materialise(indexed.join(own, "doc_id", "left").select("doc_id", "lang", "terms", "lens", "area"), "p9-index")
 
+    spread = max(1, math.isqrt(max(1, indexed.rdd.getNumPartitions())))
+
     # truncated SVD by subspace iteration
     rank = min(rank, len(terms))
     basis = np.linalg.qr(np.random.default_rng(0).standard_normal((len(terms), rank)))[0].astype(np.float32)
     for _ in range(POWER_PASSES):
-        basis = np.linalg.qr(_summed(indexed.select("terms"), _add_power, (len(terms), rank), share_out({"idf": idf, "basis": basis})))[0].astype(np.float32)
+        basis = np.linalg.qr(_summed(indexed.select("terms"), _add_power, (len(terms), rank), spread, share_out({"idf": idf, "basis": basis})))[0].astype(np.float32)
 
     # seeds
     lower = {s.lower().strip(): i for i, s in enumerate(names)}
@@ -304,14 +321,13 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, ran
     seeded = indexed.where("area is not null").withColumn("slot_lang", lang).join(F.broadcast(slots), ["area", "slot_lang"]).select("terms", "seed")
     size = (len(names) * len(languages), rank)
     model = {"idf": idf, "basis": basis}
-    centroids = _summed(seeded, _add_seeds, size, share_out(model))
+    centroids = _summed(seeded, _add_seeds, size, spread, share_out(model))
     described = languages.index("en") if "en" in languages else 0
     slot, read = {t: i for i, t in enumerate(terms)}, Sentences()
     for r in areas.where("subject is not null").collect():
         known = [slot[w] for w in read.terms(f"{r['subject']} {r['description'] or ''}") if w in slot]
         if known:
-            x = _weighted(np.array(known), np.zeros(len(known), int), 1, idf)
-            centroids[names.index(r["subject"]) * len(languages) + described] += _unit(x @ basis)[0]
+            centroids[names.index(r["subject"]) * len(languages) + described] += _unit(_embedded(np.array(known), np.zeros(len(known), int), 1, model))[0]
     alive = np.flatnonzero(np.linalg.norm(centroids, axis=1) > 0)
     if not len(alive):
         return none
@@ -322,12 +338,12 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, ran
 
     def refine() -> None:
         for _ in range(REFINE_PASSES):
-            sums = _summed(indexed.select("terms"), _add_nearest, centroids.shape, share_out(model | {"centroids": centroids}))
+            sums = _summed(indexed.select("terms"), _add_nearest, centroids.shape, spread, share_out(model | {"centroids": centroids}))
             moved = np.linalg.norm(sums, axis=1) > 0
             centroids[moved] = _unit(sums[moved])
 
     for _ in range(OUTSIDE_PASSES):
-        sums = _summed(indexed.select("terms"), _add_outside, (len(languages), rank), share_out(model | {"centroids": centroids, "axes": _axes(centroids), "language": language}))
+        sums = _summed(indexed.select("terms"), _add_outside, (len(languages), rank), spread, share_out(model | {"centroids": centroids, "axes": _axes(centroids), "language": language}))
         new = np.flatnonzero(np.linalg.norm(sums, axis=1) > 2)
         centroids = np.vstack([centroids, _unit(sums[new])])
         area, language = np.concatenate([area, np.full(len(new), -1)]), np.concatenate([language, new])

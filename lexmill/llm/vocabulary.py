@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.articles import STOP_WORDS, TERM, article_count, latest_articles
-from lexmill.session import materialise
+from lexmill.session import materialise, ship_package
 
 #: At most so many terms are broadcast and counted in arrays.
 MAX_HEAVY = 4096
@@ -84,6 +84,7 @@ def term_frequencies(articles: DataFrame, n_articles: int | None = None, max_hea
     and blank paragraphs and texts without a term count nothing; an empty table gives no row. Repeated loads of an
     article count once. Texts are read whole, however long.
     """
+    ship_package(articles.sparkSession)
     n_articles = article_count(articles) if n_articles is None else n_articles
     heavy = find_heavy_terms(articles, n_articles, max_heavy)
     partial = materialise(latest_articles(articles).select("text").mapInArrow(_counter(heavy), _PARTIAL), "p1-counts")
