@@ -91,7 +91,7 @@ def check_references(links: DataFrame, articles: DataFrame, deletions: DataFrame
     :func:`~lexmill.operators.skew.skew_join`, which broadcasts only the switch times of the few heaviest keys.
     """
     switches = materialise(existence_switches(existence_deltas(articles, deletions)), "switches")
-    once = first_links(links)
+    once = materialise(first_links(links), "links")
     _, heavy = heavy_keys(links, *FIELDS)
     parts = []
     for space in ("article", "page", "title"):
