@@ -13,6 +13,7 @@ from lexmill.functions.text import body
 from lexmill.functions.tokenizers import naive
 from lexmill.operators.links import by_title
 from lexmill.operators.search import HybridParams
+from lexmill.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -146,6 +147,7 @@ def select_distractors(entries: DataFrame, support: DataFrame, status: DataFrame
     through its own results (at most queries x limit rows) and takes, in order, what is no supporting document, not yet
     taken, not below ``min_tokens`` and fits under the largest cap. ``search(queries, params)`` is the batched search.
     """
+    ship_package(entries.sparkSession)
     good = status.where("status = 'processed'").select("qa_id", "supporting_tokens")
     asked = distractor_queries(entries.join(good.select("qa_id"), "qa_id", "left_semi"), support.join(good.select("qa_id"), "qa_id", "left_semi"), params)
     names = support.groupBy("qa_id").agg(F.collect_set("title").alias("supporting_titles"))

@@ -27,7 +27,9 @@ def get_session(app: str = "lexmill", master: str | None = None, **conf: str) ->
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -49,26 +51,52 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+#: Tables written by :func:`materialise` that are still there.
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    Cuts the lineage with a table that outlives any executor, and lets later stages read only the columns they need.
+    Cuts the lineage with a table that outlives any executor, and lets later stages read only the columns they need. The
+    tables are removed by :func:`release`, at the latest when the driver ends.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{scratch_dir(spark)}/lexmill-{tag}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_release_quietly, spark)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Remove all tables written by :func:`materialise`; their number. Frames that still read them can no longer be run."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    removed = len(_WRITTEN)
+    while _WRITTEN:
+        at = path_of(_WRITTEN.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return removed
+
+
+def _release_quietly(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except Exception:
+        _WRITTEN.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each session, unless all runs in one local process."""
+    """Send this package to the Python workers, once for each Spark context, wherever they run."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_lexmill_shipped", False):
+    if getattr(sc, "_lexmill_shipped", False):
         return
     import os
 

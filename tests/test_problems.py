@@ -110,3 +110,15 @@ def test_per_key_results(spark):
     assert skew.heavy_keys(rows.where("k is null"), "k") == (7, {"k": []})
     with pytest.raises(TypeError):
         skew.heavy_keys(rows.select(F.array("k").alias("k")), "k")
+
+
+def test_written_tables_are_released(spark):
+    import os
+
+    from lexmill import session
+
+    kept = session.materialise(spark.range(5).toDF("i"), "test")
+    path = session._WRITTEN[-1].removeprefix("file:")
+    assert kept.count() == 5 and os.path.isdir(path)
+    assert session.release(spark) >= 1 and not os.path.exists(path)
+    assert session.release(spark) == 0
