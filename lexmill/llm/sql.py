@@ -54,6 +54,9 @@ ranked as (select term, article, score, row_number() over (partition by term ord
 select term, rn::int as rank, article, round(score, 6) as score from ranked where rn <= 20""",
     "p6_found": _best("tf_idf", "article_id, term"),
     "p6_log_entropy": _best("log_entropy", "article_id, term, weight"),
-    "p6_weights": f"""with {_LATEST}, {_ENTROPY}
-select article_id, term, tf::int as tf, df, round(log_entropy, 5) as log_entropy, round(tf_idf, 5) as tf_idf from weighted""",
+    "p6_compared": f"""with {_LATEST}, {_ENTROPY}, {_CURRENT},
+stored as (select term, max(idf_value) as stored_idf from vocabulary group by 1)
+select c.term, c.article, round(score, 5) as stored_score, round(stored_idf, 5) as stored_idf, tf::int as tf,
+       round(case when tf is not null then ln(n / df) end, 5) as idf, round(tf_idf, 5) as tf_idf, round(log_entropy, 5) as log_entropy
+from (select * from current where not isnan(score)) c left join weighted w on w.article_id = c.article and w.term = c.term left join stored s on s.term = c.term cross join n""",
 }

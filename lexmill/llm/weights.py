@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.articles import STOP_WORDS, TERM, article_count, latest_articles
+from lexmill.operators.skew import heavy_keys, skew_join
 from lexmill.session import materialise
 
 #: Global weights of so many terms at most are broadcast (those of highest df); terms beyond are joined by a shuffle.
@@ -43,6 +44,10 @@ def term_weights(articles: DataFrame) -> TermWeights:
     return TermWeights(tf, terms, n, terms.count())
 
 
+LOG_ENTROPY = "ln(1 + tf) * (1 - entropy)"
+TF_IDF = "tf * idf"
+
+
 def _with_terms(w: TermWeights, columns: list[str], max_broadcast: int) -> list[DataFrame]:
     """The counts with ``columns`` of their terms; in two parts if the terms are too many to broadcast."""
     terms = w.terms.select("term", *columns)
@@ -53,9 +58,6 @@ def _with_terms(w: TermWeights, columns: list[str], max_broadcast: int) -> list[
     return [w.counts.join(hot, "term"), w.counts.join(F.broadcast(hot.select("term")), "term", "left_anti").join(terms.join(F.broadcast(hot.select("term")), "term", "left_anti"), "term")]
 
 
-LOG_ENTROPY = "ln(1 + tf) * (1 - entropy)"
-TF_IDF = "tf * idf"
-
 
 def weighted_terms(w: TermWeights, max_broadcast: int = MAX_BROADCAST_TERMS) -> DataFrame:
     """Every (article, term) with its weights: ``(article_id, term, tf, df, log_entropy, tf_idf)``."""
@@ -66,6 +68,24 @@ def weighted_terms(w: TermWeights, max_broadcast: int = MAX_BROADCAST_TERMS) ->
     return out
 
 
+def compared(w: TermWeights, scores: DataFrame, stored: DataFrame, max_broadcast: int = MAX_BROADCAST_TERMS) -> DataFrame:
+    """The stored scores beside the weights: ``(term, article, stored_score, stored_idf, tf, idf, tf_idf, log_entropy)``.
+
+    ``scores(term, article, score)`` without repeats, ``stored(term, idf_value)``, of which the greatest value of a term
+    counts. Every row of ``scores`` has one; what the article's text no longer holds has null weights, an unknown term a
+    null ``stored_idf``.
+    """
+    indexed = scores.select("term", F.col("article").alias("article_id"), F.col("score").alias("stored_score"))
+    own = TermWeights(w.counts.join(indexed, ["article_id", "term"]), w.terms, w.n_articles, w.n_terms)
+    held = None
+    for part in _with_terms(own, ["entropy", "idf"], max_broadcast):
+        part = part.select("article_id", "term", "tf", "idf", F.expr(TF_IDF).alias("tf_idf"), F.expr(LOG_ENTROPY).alias("log_entropy"))
+        held = part if held is None else held.unionByName(part)
+    old = stored.where("term is not null").groupBy("term").agg(F.max("idf_value").alias("stored_idf"))
+    rows = skew_join(indexed.join(held, ["article_id", "term"], "left"), old, "term", "left", heavy=heavy_keys(scores, "term")[1]["term"])
+    return rows.select("term", F.col("article_id").alias("article"), "stored_score", "stored_idf", "tf", "idf", "tf_idf", "log_entropy")
+
+
 def most_distinctive(w: TermWeights, scheme: str = TF_IDF, max_broadcast: int = MAX_BROADCAST_TERMS) -> DataFrame:
     """For each article its term of highest weight: ``(article_id, term, weight)``.
 
