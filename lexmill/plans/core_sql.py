@@ -133,7 +133,6 @@ r{i} as (select node, u + {d} * x / n as r from u{i}, lost{i}, n)""")
 
 
 _HASH = "((((article_id % 2147483647) * 48271 + {0}) % 2147483647) * 69621 + {0}) % 2147483647"
-_ENC = "case when contains(coalesce(anchor_text, ''), '<') then null else {0} end"
 _ANCHOR = STRIPPED.format("coalesce(anchor_text, '')")
 
 ORACLES: dict[str, str] = {
@@ -145,7 +144,7 @@ select article_id, coalesce(case when length(s) > 200 then s[:200] || '...' else
     "html_paragraph_text": "select doc_id, replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') as plain from documents",
     "html_links": f"""select link_id as page_id, 0 as pos, to_title[:512] as to_title, a[:512] as anchor_text from (select *, {_ANCHOR} as a from internal_link)
 where to_title <> '' and a <> '' and not contains(anchor_text, '<')""",
-    "decoded_links": None,
+    "decoded_links": "select url_decode(to_title) as decoded, count(*) as n_links from (select distinct link_id, to_title from internal_link) group by 1",
     "term_frequency": f"with {TF} select * from tf",
     "document_frequency": f"with {TF} select term, count(*) as document_frequency from tf group by 1",
     "vocabulary_idf": f"with {TF} select term, count(*) as document_frequency, round(ln(any_value(n) / count(*)), 6) as idf_value from tf, n group by 1",
@@ -246,4 +245,3 @@ union all select 'pagerank', count(*) from pagerank where article not in (select
 union all select 'internal_link', count(*) from internal_link where (from_article is null or from_article not in (select k from g)) and (to_article is null or to_article not in (select k from g))""",
     "null_safe_join": "select doc_id, n_same from documents d join (select source, count(*) as n_same from documents group by 1) s on d.source is not distinct from s.source",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
