@@ -49,6 +49,11 @@ def p6_log_entropy(spark: SparkSession, d: str) -> DataFrame:
     return weights.most_distinctive(weights.term_weights(table(spark, d, "article")), weights.LOG_ENTROPY)
 
 
+def p6_weights(spark: SparkSession, d: str) -> DataFrame:
+    rows = weights.weighted_terms(weights.term_weights(table(spark, d, "article")))
+    return rows.withColumns({"log_entropy": F.round("log_entropy", 5), "tf_idf": F.round("tf_idf", 5)})
+
+
 def p6_compared(spark: SparkSession, d: str) -> DataFrame:
     scores = materialise(top_n.current_scores(table(spark, d, "inverted_index")), "p6-scores")
     rows = weights.compared(weights.term_weights(table(spark, d, "article")), scores, table(spark, d, "vocabulary"))
@@ -83,7 +88,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(_subjects(spark, d), table(spark, d, "documents").count())
 
 
-NAMES = (p1_found, p1_vocabulary, p2_found, p2_ranked, p4_found, p4_titles, p4_unmatched, p6_found, p6_log_entropy, p6_compared, p7_ids, p7_token_counts, p8_assignments, p8_containers, p9_found, p9_composition)
+NAMES = (p1_found, p1_vocabulary, p2_found, p2_ranked, p4_found, p4_titles, p4_unmatched, p6_found, p6_log_entropy, p6_weights, p6_compared, p7_ids, p7_token_counts, p8_assignments, p8_containers, p9_found, p9_composition)
 
 
 def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
