@@ -16,10 +16,11 @@ def _one_row(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), frames)
 
 
-def mean_paragraphs(articles: DataFrame, sample: int) -> DataFrame:
-    """One row: the mean number of paragraphs of the ``sample`` articles of smallest id; null paragraphs count 0."""
+def mean_paragraphs(articles: DataFrame, sample: int | None = None) -> DataFrame:
+    """One row: the mean number of paragraphs of all articles, or of the ``sample`` of smallest id; null paragraphs count 0."""
     size = F.greatest(F.lit(0), F.coalesce(F.size("plain_text_paragraphs"), F.lit(0)))
-    return articles.orderBy("article_id").limit(sample).agg(F.coalesce(F.avg(size), F.lit(0.0)).alias("avg_paragraphs"))
+    rows = articles if sample is None else articles.orderBy("article_id").limit(sample)
+    return rows.agg(F.coalesce(F.avg(size), F.lit(0.0)).alias("avg_paragraphs"))
 
 
 def summary(articles: DataFrame, links: DataFrame, sample: int = SUMMARY_SAMPLE) -> DataFrame:

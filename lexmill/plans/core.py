@@ -401,6 +401,11 @@ def db_summary(spark, d):
     return stats.summary(articles(spark, d), table(spark, d, "internal_link")).withColumn("avg_paragraphs", F.round("avg_paragraphs", 6))
 
 
+@query
+def mean_paragraphs(spark, d):
+    return stats.mean_paragraphs(articles(spark, d)).withColumn("avg_paragraphs", F.round("avg_paragraphs", 6))
+
+
 @query
 def status_page(spark, d):
     rows = stats.status(articles(spark, d), table(spark, d, "internal_link"), table(spark, d, "vocabulary"), table(spark, d, "inverted_index"), corpus.current_ranks(table(spark, d, "pagerank")))

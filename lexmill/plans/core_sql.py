@@ -204,6 +204,7 @@ select qa_id, cap::bigint as cap, count_if(coalesce(supporting_tokens + so_far <
   (any_value(supporting_tokens) + coalesce(max(case when supporting_tokens + so_far <= cap then so_far end), 0))::bigint as context_size from joined group by 1, 2""",
     "db_summary": f"""with {ART} select (select count(*) from art) as n_articles, (select count(*) from internal_link) as n_links, (select count(*) from internal_link where to_article is null) as n_unresolved,
   (select round(coalesce(avg({SIZE}), 0), 6) from (select * from art order by article_id limit 1000)) as avg_paragraphs""",
+    "mean_paragraphs": f"with {ART} select round(coalesce(avg({SIZE}), 0), 6) as avg_paragraphs from art",
     "status_page": f"""with {ART}, {RANKS},
 a as (select count(*) as n_articles from art), k as (select count(*) as n_links, count_if(to_article is null)::bigint as n_unresolved from internal_link),
 v as (select count(*) as n_terms, round(avg(document_frequency), 9) as avg_df, max(document_frequency) as max_df, round(avg(idf_value), 9) as avg_idf from vocabulary),

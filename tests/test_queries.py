@@ -36,3 +36,12 @@ def test_core_does_not_need_llm():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert not re.search(r"lexmill\.llm|from \.llm", path.read_text()), path
+
+
+def test_mean_paragraphs_is_over_all_articles(spark):
+    from lexmill.operators import stats
+
+    rows = [(i, ["x"] if i <= 1000 else ["x"] * 5) for i in range(1, 2001)] + [(2001, None), (2002, [])]
+    frame = spark.createDataFrame(rows, "article_id long, plain_text_paragraphs array<string>")
+    assert stats.mean_paragraphs(frame).first()["avg_paragraphs"] == 6000 / 2002
+    assert "mean_paragraphs" in QUERIES and "limit" not in SQL["mean_paragraphs"]
