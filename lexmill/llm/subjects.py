@@ -42,9 +42,12 @@ DOCUMENT_COSINE, SENTENCE_COSINE = 0.5, 0.42
 SENTENCE_LENGTH = 0.2
 #: Share of a document's sentences from which an area holds for it.
 SHARE = 0.25
-#: Languages with centroids: those of at least this share of the labelled documents. Documents of any language are
-#: assigned; a label of a document in none of these seeds nothing.
-LANGUAGE_SHARE = 0.02
+#: Languages of less than this share of the labelled documents are rare: they are seeded like the others, but the mean of
+#: their documents, not of their centroids, is taken as common to them.
+RARE = 0.02
+#: Length that a seed of a rare language must keep when that mean is taken out; with less, the area cannot be told from the
+#: language, and no sentence is assigned to it.
+DISTINCT = 0.1
 
 
 # --- text ---
@@ -315,7 +318,7 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, ran
     # seeds
     lower = {s.lower().strip(): i for i, s in enumerate(names)}
     spoken = {r["lang"]: r["count"] for r in indexed.where("area is not null").groupBy("lang").count().collect()}
-    languages = sorted(x for x, c in spoken.items() if x and c >= LANGUAGE_SHARE * sum(spoken.values())) or [""]
+    languages = sorted(x for x in spoken if x) or [""]
     slots = spark.createDataFrame([(a, s, i * len(languages) + j) for a, i in lower.items() for j, s in enumerate(languages)], T.StructType([T.StructField("area", T.StringType()), T.StructField("slot_lang", T.StringType()), T.StructField("seed", T.IntegerType())]))
     lang = F.lit("") if languages == [""] else F.col("lang")
     seeded = indexed.where("area is not null").withColumn("slot_lang", lang).join(F.broadcast(slots), ["area", "slot_lang"]).select("terms", "seed")
@@ -332,6 +335,7 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, ran
     if not len(alive):
         return none
     centroids = _unit(centroids[alive])
+    seeds = centroids.copy()
 
     # refinement, and centroids of no area
     area, language = alive // len(languages), alive % len(languages)
@@ -356,6 +360,16 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, ran
         if (same & (area >= 0)).sum() > 1:
             centred[same] -= centroids[same & (area >= 0)].mean(0)
     centred = _unit(centred)
+    # the few seeds of a rare language do not tell what is common to it, but its documents do
+    rare = [j for j, x in enumerate(languages) if x and spoken[x] < RARE * sum(spoken.values())]
+    if rare:
+        places = spark.createDataFrame([(languages[j], i) for i, j in enumerate(rare)], "lang string, seed int")
+        sums = _summed(indexed.join(F.broadcast(places), "lang").select("terms", "seed"), _add_seeds, (len(rare), rank), spread, share_out(model))
+        for j, mean in zip(rare, _unit(sums), strict=True):
+            for k in np.flatnonzero(language == j):
+                own = seeds[k] if area[k] >= 0 else centroids[k]
+                left = own - (own @ mean) * mean
+                centred[k] = _unit(left) if np.linalg.norm(left) >= DISTINCT else 0
     axes = _axes(centred)
     final = {"idf": idf, "basis": basis, "axes": axes, "centred": (centred @ axes).astype(np.float32), "areas": area, "names": names, "share": share}
     return indexed.select("doc_id", "lang", "terms", "lens").mapInArrow(_assign(share_out(final)), _RESULT)

@@ -157,3 +157,26 @@ def test_held_out_labels(spark):
     found = {(r["doc_id"], r["subject"]) for r in subjects.subject_areas(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/subject_area.parquet"), known).collect()}
     unseen = [(r["doc_id"], r["subject"].lower()) for r in marks.where("doc_id % 2 = 1").distinct().collect()]
     assert sum(x in found for x in unseen) / len(unseen) > 0.7
+
+
+@pytest.mark.parametrize(("labelled", "found_at_least"), [({"law", "food", "sport"}, 1.0), ({"law", "food"}, 0.4), ({"law"}, 0.2)])
+def test_a_rare_language_is_seeded(spark, labelled, found_at_least):
+    """One label for each area is under 2 % of the labels; areas that have one must not draw the documents of the others."""
+    rng, docs, truth, labels = random.Random(1), [], {}, []
+    for i in range(720):
+        rare, kind = i % 12 == 0, rng.choice([*TOPICS, None])
+        text = [f"the {' '.join(rng.sample((TOPICS[kind] if kind else OTHER).split(), 3))} was there with upon every." for _ in range(4)] + ["opinion differ there."]
+        text = " ".join(" ".join(w.rstrip(".")[::-1] + "o" + "." * w.endswith(".") for w in t.split()) if rare else t for t in text)
+        docs.append((i, text, "pt" if rare else "en"))
+        if not rare and kind and i % 4:
+            labels.append((i, kind))
+        elif rare and kind in labelled and kind not in {truth.get(k) for k in range(0, i, 12)}:
+            labels.append((i, kind))
+        if rare:
+            truth[i] = kind
+    assert sum(i % 12 == 0 for i, _ in labels) < 0.02 * len(labels)
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    areas = spark.createDataFrame([(k, f"about {v.split()[0]}") for k, v in TOPICS.items()], "subject string, description string")
+    found = subjects.subject_areas(frame, areas, spark.createDataFrame(labels, "doc_id long, subject string"), rank=16).where("doc_id % 12 = 0").collect()
+    assert all(truth[r["doc_id"]] == r["subject"] for r in found)
+    assert len(found) >= found_at_least * sum(k is not None for k in truth.values())
