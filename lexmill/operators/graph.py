@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.operators.skew import heavy_keys, skew_join
+from lexmill.operators.skew import heavy_counts, skew_join
 from lexmill.session import materialise
 
 
@@ -97,7 +97,7 @@ def pagerank(links: DataFrame, damping: float = 0.85, max_iter: int = 100, tol:
     n = points.count()
     if not n:
         return PageRank(links.sparkSession.createDataFrame([], "article long, score double"), 0, 0.0, 0)
-    heavy = heavy_keys(graph, "src")[1]["src"]
+    heavy = heavy_counts(graph, "src")[1]["src"]
     steps = materialise(skew_join(graph, out_degrees(graph), "src", "inner", heavy=heavy).select("src", "dst", (F.col("w") / F.col("out_degree")).alias("p")), "pr-steps")
     scores = points.select("node", "dangling", F.lit(1.0 / n).alias("u"))
     shift, residual, done = 0.0, 0.0, 0

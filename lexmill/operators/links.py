@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import LINK, unquote
-from lexmill.operators.skew import skew_join
+from lexmill.operators.skew import skew_join, skew_joins
 
 
 def by_title(articles: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def resolve_links(links: DataFrame, articles: DataFrame) -> DataFrame:
     """
     pages = articles.where("page_id is not null").groupBy("page_id").agg(F.min("article_id").alias("__from")).withColumnRenamed("page_id", "from_page_id")
     titles = by_title(articles).select(F.col("title").alias("to_title"), F.col("article_id").alias("__to"))
-    both = skew_join(skew_join(links, pages, "from_page_id", "left"), titles, "to_title", "left")
+    both = skew_joins(links, "left", (pages, "from_page_id"), (titles, "to_title"))
     hit = F.col("__from").isNotNull() & F.col("__to").isNotNull()
     return both.withColumns(
         {
@@ -90,8 +90,9 @@ def rewrite_links(pages: DataFrame, articles: DataFrame) -> DataFrame:
 def search_links(links: DataFrame, articles: DataFrame, text: str) -> DataFrame:
     """Links whose title, source title or target title contains ``text``, whatever its case."""
     titles = articles.groupBy("article_id").agg(F.min("title").alias("t"))
-    rows = skew_join(links, titles.select(F.col("article_id").alias("from_article"), F.col("t").alias("from_title")), "from_article", "left")
-    rows = skew_join(rows, titles.select(F.col("article_id").alias("to_article"), F.col("t").alias("target_title")), "to_article", "left")
+    sources = titles.select(F.col("article_id").alias("from_article"), F.col("t").alias("from_title"))
+    targets = titles.select(F.col("article_id").alias("to_article"), F.col("t").alias("target_title"))
+    rows = skew_joins(links, "left", (sources, "from_article"), (targets, "to_article"))
     has = lambda c: F.coalesce(F.contains(F.lower(c), F.lower(F.lit(text))), F.lit(False))
     return rows.where(has(F.col("to_title")) | has(F.col("from_title")) | has(F.col("target_title")))
 

@@ -1,8 +1,9 @@
 """References to records that do not exist.
 
-Loads and deletions become signed existence changes for each key; references become signed reference changes. A running
-sum of the existence changes gives the times at which a key starts or stops to exist, and a reference is an orphan if
-its key does not exist at the time of the reference.
+Loads and deletions become signed existence changes for each key; references become signed reference changes. Summed for
+each key they give the current orphans, and can be kept up to date by adding the counts of later changes. A reference is an
+orphan as of its own time if its key had not gained an article by then, or had lost it again: the counts decide that for
+keys that never lost one, a running sum for the others.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators.skew import heavy_keys, skew_join
+from lexmill.operators.skew import heavy_counts, salted, skew_join
 from lexmill.session import materialise
 
 #: Reference field -> name space of its key.
@@ -59,12 +60,21 @@ def existence_deltas(articles: DataFrame, deletions: DataFrame) -> DataFrame:
     return article_changes(articles, deletions).select("ts", F.explode(steps).alias("d")).select("d.space", "d.key", "ts", "d.delta")
 
 
-def existence_switches(deltas: DataFrame) -> DataFrame:
-    """The times at which each key starts and stops to exist: ``(space, key, switches ARRAY<TIMESTAMP>)``.
+def existence_counts(deltas: DataFrame) -> DataFrame:
+    """The signed existence changes summed for each key: ``(space, key, first, n_lost)``.
 
-    Ascending; a key exists at ``t`` if the number of switches up to and including ``t`` is odd. The running sum is taken
-    in two levels, over the days of a key and within each day, so a key with very many changes is spread over its days.
-    Only true switches are collected, 8 bytes each: as many as the key's changes between being there and not.
+    ``first`` is the time of the first gain, ``n_lost`` the number of times at which a key lost more articles than it gained.
+    A key that never lost one exists from ``first`` on; the others need :func:`existence_intervals`.
+    """
+    moments = deltas.groupBy("space", "key", "ts").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+    return moments.groupBy("space", "key").agg(F.min(F.when(F.col("delta") > 0, F.col("ts"))).alias("first"), F.count_if(F.col("delta") < 0).alias("n_lost"))
+
+
+def existence_intervals(deltas: DataFrame) -> DataFrame:
+    """When each key exists: ``(space, key, since, until)``, ``until`` excluded and null for those that still exist.
+
+    The running sum is taken in two levels, over the days of a key and within each day, so a key with very many changes is
+    spread over its days. The last window runs over a key's true switches only and keeps one row at a time.
     """
     moments = deltas.groupBy("space", "key", "ts").agg(F.sum("delta").alias("delta")).where("delta <> 0").withColumn("day", F.to_date("ts"))
     inside = Window.partitionBy("space", "key", "day").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
@@ -72,8 +82,8 @@ def existence_switches(deltas: DataFrame) -> DataFrame:
     before = Window.partitionBy("space", "key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select("space", "key", "day", F.coalesce(F.sum("of_day").over(before), F.lit(0)).alias("before"))
     running = moments.join(days, ["space", "key", "day"]).withColumn("now", F.col("before") + F.sum("delta").over(inside))
-    switched = running.where("(now > 0) <> (now - delta > 0)")
-    return switched.groupBy("space", "key").agg(F.sort_array(F.collect_list("ts")).alias("switches"))
+    switched = running.where("(now > 0) <> (now - delta > 0)").withColumn("until", F.lead("ts").over(Window.partitionBy("space", "key").orderBy("ts")))
+    return switched.where("now > 0").select("space", "key", F.col("ts").alias("since"), "until")
 
 
 def first_links(links: DataFrame) -> DataFrame:
@@ -86,13 +96,24 @@ def first_links(links: DataFrame) -> DataFrame:
 def check_references(links: DataFrame, articles: DataFrame, deletions: DataFrame, orphans_only: bool = False) -> DataFrame:
     """Every reference of every link with its verdict: ``(link_id, ref_field, loaded_at, orphan)``.
 
+    A reference meets the signed counts of its key, one row of fixed width. A key without a gain was never there; one that
+    lost nothing is there from its first gain on; references to keys that also lost articles, and only these, are compared
+    with the intervals in which their key exists, both sides cut by month. Hot targets are spread over salts in either join.
+
     A link whose ``loaded_at`` is null cannot be placed in time: its references are orphans. Null fields are no
-    references. Empty tables give no rows (no articles: every reference is an orphan). Hot targets are joined by
-    :func:`~lexmill.operators.skew.skew_join`, which broadcasts only the switch times of the few heaviest keys.
+    references. Empty tables give no rows (no articles: every reference is an orphan).
     """
-    switches = materialise(existence_switches(existence_deltas(articles, deletions)), "switches")
+    deltas = materialise(existence_deltas(articles, deletions), "deltas")
+    counts = materialise(existence_counts(deltas), "counts")
+    lossy = counts.where("n_lost > 0")
     once = materialise(first_links(links), "links")
-    _, heavy = heavy_keys(links, *FIELDS)
+    _, heavy = heavy_counts(links, *FIELDS)
+    last = once.agg(F.max("loaded_at")).first()[0]
+    spells = existence_intervals(deltas.join(lossy.select("space", "key"), ["space", "key"], "left_semi"))
+    # an interval has a row for each month it touches, up to the last reference
+    end = F.least(F.coalesce("until", F.lit(last)), F.lit(last).cast("timestamp"))
+    spells = spells.where(F.col("since") <= F.lit(last)).withColumn("month", F.explode(F.sequence(F.trunc("since", "MM"), F.trunc(end, "MM"), F.expr("interval 1 month"))))
+    spells = materialise(spells, "spells")
     parts = []
     for space in ("article", "page", "title"):
         fields = [f for f, s in FIELDS.items() if s == space]
@@ -103,11 +124,21 @@ def check_references(links: DataFrame, articles: DataFrame, deletions: DataFrame
             refs = once.select("link_id", F.explode(both).alias("r"), "loaded_at").select("link_id", "r.ref_field", "r.key", "loaded_at")
         refs = refs.where("key is not null")
         kind = refs.schema["key"].dataType
-        own = switches.where(F.col("space") == space).select(F.col("key").cast(kind).alias("key"), "switches")
-        hot = sorted({v for f in fields for v in heavy[f]})
-        joined = skew_join(refs, own, "key", "left", heavy=hot)
-        there = F.expr("coalesce(size(filter(switches, s -> s <= loaded_at)) % 2 = 1, false)")
-        out = joined.select("link_id", "ref_field", "loaded_at", (~there).alias("orphan"))
+        hot: dict = {}
+        for f in fields:
+            for value, n in heavy[f].items():
+                hot[value] = hot.get(value, 0) + n
+        own = counts.where(F.col("space") == space).select(F.col("key").cast(kind).alias("key"), "first", (F.col("n_lost") > 0).alias("lossy"))
+        judged = skew_join(refs, own, "key", "left", heavy=hot)
+        orphan = F.coalesce(F.col("loaded_at") < F.col("first"), F.lit(True))
+        clear = judged.where("not coalesce(lossy, false)").select("link_id", "ref_field", "loaded_at", orphan.alias("orphan"))
+        unclear = judged.where("lossy").select("link_id", "ref_field", "key", "loaded_at", F.trunc("loaded_at", "MM").alias("month"))
+        own = spells.where(F.col("space") == space).select(F.col("key").cast(kind).alias("key"), "month", "since", "until")
+        a, b = salted(unclear, own, "key", hot)
+        inside = (F.col("loaded_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("loaded_at") < F.col("until")))
+        same = [a[c] == b[c] for c in ("key", "month", "__salt")]
+        held = a.join(b, [*same, inside], "left").select("link_id", "ref_field", "loaded_at", F.col("since").isNull().alias("orphan"))
+        out = clear.unionByName(held)
         parts.append(out.where("orphan") if orphans_only else out)
     return reduce(DataFrame.unionByName, parts)
 
@@ -119,15 +150,32 @@ def orphan_report(links: DataFrame, articles: DataFrame, deletions: DataFrame) -
     return verdicts.groupBy("ref_field", month.alias("month")).agg(F.count(F.lit(1)).alias("n_refs"), F.count_if("orphan").alias("n_orphans"))
 
 
-def current_orphans(links: DataFrame, articles: DataFrame, deletions: DataFrame) -> DataFrame:
-    """Keys that are referred to and do not exist now: ``(space, key STRING, n_refs, n_existing)``.
+def reference_counts(links: DataFrame, articles: DataFrame, deletions: DataFrame) -> DataFrame:
+    """Signed counts for each key: ``(space, key STRING, n_refs, n_existing)``, from reference and existence changes.
 
-    Signed reference and existence changes are summed for each key in one aggregation (partial sums first, so a hot key
-    costs one row a task); positive references with zero existence form the report.
+    One aggregation with partial sums, so a hot key costs one row a task. Null fields name nothing.
     """
     once = first_links(links)
     pairs = F.expr("array(" + ", ".join(f"named_struct('space', '{s}', 'key', cast({f} as string))" for f, s in FIELDS.items()) + ")")
     refs = once.select(F.explode(pairs).alias("r")).where("r.key is not null").select("r.space", "r.key", F.lit(1).cast("long").alias("refs"), F.lit(0).cast("long").alias("delta"))
     exist = existence_deltas(articles, deletions).select("space", "key", F.lit(0).cast("long").alias("refs"), "delta")
-    counts = refs.unionByName(exist).groupBy("space", "key").agg(F.sum("refs").alias("n_refs"), F.sum("delta").alias("n_existing"))
+    return refs.unionByName(exist).groupBy("space", "key").agg(F.sum("refs").alias("n_refs"), F.sum("delta").alias("n_existing"))
+
+
+def add_counts(counts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Signed counts brought up to date with those of later changes; removed references and articles count below zero.
+
+    Both ``(space, key, n_refs, n_existing)``; keys whose counts are both zero in the end are left out.
+    """
+    both = counts.unionByName(changes.select(*counts.columns))
+    return both.groupBy("space", "key").agg(F.sum("n_refs").alias("n_refs"), F.sum("n_existing").alias("n_existing")).where("n_refs <> 0 or n_existing <> 0")
+
+
+def orphans_of(counts: DataFrame) -> DataFrame:
+    """The keys with positive references and zero existence."""
     return counts.where("n_refs > 0 and n_existing <= 0")
+
+
+def current_orphans(links: DataFrame, articles: DataFrame, deletions: DataFrame) -> DataFrame:
+    """Keys that are referred to and do not exist now: ``(space, key STRING, n_refs, n_existing)``, from the signed counts."""
+    return orphans_of(reference_counts(links, articles, deletions))

@@ -1,37 +1,49 @@
 """Keys that hold most of the records.
 
-Heavy keys are found with a bounded sketch over all rows. Work per heavy key is done where the rows lie (broadcast join,
-then a partial aggregate); every other key takes the ordinary shuffle; the two results are united. Which keys the sketch
-names changes only the route of a row, never the result.
+Heavy keys are found with a bounded sketch over all rows. Results per key: heavy keys are worked on where the rows lie
+(broadcast join, then a partial aggregate), every other key takes the ordinary shuffle, and the two results are united.
+Joins whose rows go on: heavy keys are salted in one pass. Which keys the sketch names changes only the route of a row,
+never the result.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: At most so many keys are ever treated as heavy, hence broadcast.
-MAX_HEAVY = 256
-#: Entries of the sketch kept for each partition.
-TRACKED = 2048
-#: A key is heavy if the sketch gives it at least this share of the rows.
+#: A key is heavy if the sketch gives it at least this share of the rows, or that of an even shuffle partition if it is less.
 MIN_SHARE = 0.002
+#: At most so many keys are ever treated as heavy, hence broadcast (no more than 1 / share keys can be).
+MAX_HEAVY = 20_000
+#: Entries of the sketch kept for each partition, at least and at most.
+TRACKED = (2048, 100_000)
 
 
 def _orderable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
 
 
-def heavy_keys(df: DataFrame, *keys: str, max_keys: int = MAX_HEAVY, min_share: float = MIN_SHARE, tracked: int = TRACKED) -> tuple[int, dict[str, list]]:
-    """Rows of ``df`` and, for each column of ``keys``, its heavy values.
+def heavy_counts(df: DataFrame, *keys: str, max_keys: int | None = None, min_share: float | None = None, tracked: int | None = None) -> tuple[int, dict[str, dict]]:
+    """Rows of ``df`` and, for each column of ``keys``, its heavy values with their number of rows, about.
 
-    One pass with one frequent-items sketch for each column. Null is never a heavy key. An empty table gives
-    ``(0, {key: []})``. The lists hold ``max_keys`` values at most, whatever the size of the data.
+    One pass with one frequent-items sketch for each column. By default a key is heavy from ``MIN_SHARE`` of the rows or from
+    an even share of a shuffle partition, whichever is less, so what stays light fits beside the rest of a partition. Null
+    is never a heavy key. An empty table gives ``(0, {key: {}})``. No more than 1 / share keys can have a share of that
+    size, so the result is bounded, whatever the size of the data.
     """
     for key in keys:
         if not _orderable(df.schema[key].dataType):
             raise TypeError(f"{key}: heavy keys need an atomic type")
+    if min_share is None:
+        min_share = min(MIN_SHARE, 1 / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if max_keys is None:
+        max_keys = min(MAX_HEAVY, math.ceil(1 / min_share))
+    if tracked is None:
+        tracked = min(TRACKED[1], max(TRACKED[0], 4 * max_keys))
     row = df.agg(
         F.count(F.lit(1)).alias("__rows"),
         *(F.expr(f"approx_top_k(`{key}`, {max_keys}, {max(tracked, max_keys)})").alias(f"__k{i}") for i, key in enumerate(keys)),
@@ -40,31 +52,63 @@ def heavy_keys(df: DataFrame, *keys: str, max_keys: int = MAX_HEAVY, min_share:
     least = max(2, total * min_share)
     found = {}
     for i, key in enumerate(keys):
-        found[key] = [x["item"] for x in (row[f"__k{i}"] or []) if x["item"] is not None and x["count"] >= least]
+        found[key] = {x["item"]: x["count"] for x in (row[f"__k{i}"] or []) if x["item"] is not None and x["count"] >= least}
     return total, found
 
 
-def _key_frame(df: DataFrame, key: str, values: list) -> DataFrame:
+def heavy_keys(df: DataFrame, *keys: str, **detect) -> tuple[int, dict[str, list]]:
+    """:func:`heavy_counts` without the numbers: the rows of ``df`` and the heavy values of each column."""
+    total, found = heavy_counts(df, *keys, **detect)
+    return total, {key: list(values) for key, values in found.items()}
+
+
+def _key_frame(df: DataFrame, key: str, values: Iterable) -> DataFrame:
     """The heavy values as a one-column table; a literal list, so that every use of it agrees."""
     field = T.StructField(key, df.schema[key].dataType, True)
     return df.sparkSession.createDataFrame([(v,) for v in values], T.StructType([field]))
 
 
-def split_by_heavy(df: DataFrame, key: str, values: list) -> tuple[DataFrame, DataFrame]:
+def split_by_heavy(df: DataFrame, key: str, values: Iterable) -> tuple[DataFrame, DataFrame]:
     """Rows whose key is in ``values``, and all others (null keys are among the others)."""
+    values = list(values)
     if not values:
         return df.limit(0), df
     hot = F.broadcast(_key_frame(df, key, values))
     return df.join(hot, key, "left_semi"), df.join(hot, key, "left_anti")
 
 
-def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", heavy: list | None = None, **detect) -> DataFrame:
+def salted(big: DataFrame, small: DataFrame, key: str, heavy: dict | list, salt: str = "__salt") -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``salt`` to be joined on beside ``key``, so that no heavy key gathers in one task.
+
+    A key with ``m`` times the rows of the least heavy one is spread over ``m`` salts (without the numbers, over as many as
+    there are shuffle partitions), and its rows of ``small`` are repeated for each; as shares sum to one, that adds at most
+    2 / share rows for each row a key has there. Rows of ``big`` with a
+    null key, which match nothing, are spread too. ``big`` is read once, whatever is heavy.
+    """
+    spark, kind = big.sparkSession, big.schema[key].dataType
+    mixed = F.xxhash64(F.spark_partition_id(), *[F.col(f"`{f.name}`") for f in big.schema if _orderable(f.dataType)])
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.when(F.col(key).isNull(), F.lit(partitions))
+    if not heavy:
+        return big.withColumn(salt, F.when(F.col(key).isNull(), F.pmod(mixed, F.lit(partitions))).otherwise(F.lit(0)).cast("int")), small.withColumn(salt, F.lit(0))
+    if not isinstance(heavy, dict):
+        heavy = dict.fromkeys(heavy, partitions) | {None: 1}
+    least = min(heavy.values())
+    rows = [(k, max(2, math.ceil(n / least))) for k, n in heavy.items() if k is not None]
+    salts = F.broadcast(spark.createDataFrame(rows, T.StructType([T.StructField(key, kind, True), T.StructField("__salts", T.IntegerType(), False)])))
+    out = big.join(salts, key, "left").withColumn(salt, F.pmod(mixed, spread.otherwise(F.coalesce("__salts", F.lit(1)))).cast("int"))
+    copies = small.join(salts, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
+    return out.drop("__salts"), copies.drop("__salts")
+
+
+def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", heavy: dict | list | None = None, **detect) -> DataFrame:
     """Join ``big`` to ``small`` (at most one row for each key) without piling a heavy key onto one task.
 
-    ``how``: ``inner`` or ``left``. Heavy keys take a broadcast of the few rows of ``small`` that carry them (as many as
-    there are heavy keys, so at most ``MAX_HEAVY``); all other keys the ordinary shuffle. Rows of ``big`` with a null key
-    match nothing: they are dropped (``inner``) or kept with nulls (``left``) without entering the shuffle. Columns of
-    ``small`` other than the key that also occur in ``big`` raise ``ValueError``. Repeated rows of ``big`` stay repeated.
+    ``how``: ``inner`` or ``left``. Both sides are :func:`salted`: heavy keys are spread over as many salts as they need, and
+    so are rows of ``big`` with a null key, which match nothing and are dropped (``inner``) or kept with nulls (``left``).
+    ``big`` is read once and shuffled once (not at all if Spark finds ``small`` fit to broadcast). ``heavy`` may name the
+    heavy keys with their rows, as :func:`heavy_counts` gives them; else they are looked for in ``big``. Columns of ``small``
+    other than the key that also occur in ``big`` raise ``ValueError``. Repeated rows of ``big`` stay repeated.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
@@ -72,21 +116,18 @@ def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", he
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     if heavy is None:
-        heavy = heavy_keys(big, key, **detect)[1][key]
+        heavy = heavy_counts(big, key, **detect)[1][key]
     columns = [key, *[c for c in big.columns if c != key], *[c for c in small.columns if c != key]]
-    known = big.where(F.col(key).isNotNull())
-    hot, cold = split_by_heavy(known, key, heavy)
-    parts = [cold.join(small, key, how).select(columns)]
-    if heavy:
-        few = small.join(F.broadcast(_key_frame(big, key, heavy)), key, "left_semi")
-        parts.append(hot.join(F.broadcast(few), key, how).select(columns))
-    if how == "left":
-        types = {f.name: f.dataType for f in small.schema}
-        parts.append(big.where(F.col(key).isNull()).select(key, *[c for c in big.columns if c != key], *[F.lit(None).cast(types[c]).alias(c) for c in small.columns if c != key]))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    a, b = salted(big.where(F.col(key).isNotNull()) if how == "inner" else big, small, key, heavy)
+    return a.join(b, [key, "__salt"], how).select(columns)
+
+
+def skew_joins(big: DataFrame, how: str, *sides: tuple[DataFrame, str]) -> DataFrame:
+    """:func:`skew_join` of ``big`` with each ``(small, key)`` in turn; the heavy keys of all are found in one pass."""
+    heavy = heavy_counts(big, *dict.fromkeys(key for _, key in sides))[1]
+    for small, key in sides:
+        big = skew_join(big, small, key, how, heavy[key])
+    return big
 
 
 def per_key_results(rows: DataFrame, key: str, aggregates: list[Column], attributes: DataFrame | None = None, heavy: list | None = None, **detect) -> DataFrame:

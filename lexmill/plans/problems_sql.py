@@ -21,9 +21,12 @@ names as (
   union all select distinct 'page', page_id::varchar, article_id from article
   union all select distinct 'title', title, article_id from article),
 candidates as (select r.link_id, r.ref_field, r.loaded_at, n.article_id from refs r join names n using (space, key)),
+spells as (
+  select article_id, ts, alive, lead(ts) over (partition by article_id order by ts) as until
+  from (select article_id, ts, max(alive) as alive from events group by 1, 2)),
 alive as (
-  select c.link_id, c.ref_field from candidates c asof join events e on c.article_id = e.article_id and c.loaded_at >= e.ts
-  where e.alive = 1 group by all),
+  select distinct c.link_id, c.ref_field from candidates c join spells e using (article_id)
+  where e.alive = 1 and c.loaded_at >= e.ts and (e.until is null or c.loaded_at < e.until)),
 verdicts as (
   select r.link_id, r.ref_field, r.loaded_at, a.link_id is null as orphan from refs r left join alive a using (link_id, ref_field))"""
 
