@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.operators.skew import heavy_keys, skew_join
+from lexmill.operators.skew import heavy_counts, skew_join
 from lexmill.session import materialise
 
 #: Edits bridged by the pigeonhole join.
@@ -164,8 +164,8 @@ def typed_titles(links: DataFrame, articles: DataFrame) -> DataFrame:
     return a.unionByName(b).where("row_id is not null and value is not null").distinct()
 
 
-def _heavy_titles(links: DataFrame) -> list:
-    return heavy_keys(links, "to_title")[1]["to_title"]
+def _heavy_titles(links: DataFrame) -> dict:
+    return heavy_counts(links, "to_title")[1]["to_title"]
 
 
 def map_titles(links: DataFrame, articles: DataFrame, catalog: DataFrame, k: int = EDITS) -> DataFrame:

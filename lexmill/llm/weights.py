@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.articles import STOP_WORDS, TERM, article_count, latest_articles
-from lexmill.operators.skew import heavy_keys, skew_join
+from lexmill.operators.skew import heavy_counts, skew_join
 from lexmill.session import materialise
 
 #: Global weights of so many terms at most are broadcast (those of highest df); terms beyond are joined by a shuffle.
@@ -82,7 +82,7 @@ def compared(w: TermWeights, scores: DataFrame, stored: DataFrame, max_broadcast
         part = part.select("article_id", "term", "tf", "idf", F.expr(TF_IDF).alias("tf_idf"), F.expr(LOG_ENTROPY).alias("log_entropy"))
         held = part if held is None else held.unionByName(part)
     old = stored.where("term is not null").groupBy("term").agg(F.max("idf_value").alias("stored_idf"))
-    rows = skew_join(indexed.join(held, ["article_id", "term"], "left"), old, "term", "left", heavy=heavy_keys(scores, "term")[1]["term"])
+    rows = skew_join(indexed.join(held, ["article_id", "term"], "left"), old, "term", "left", heavy=heavy_counts(scores, "term")[1]["term"])
     return rows.select("term", F.col("article_id").alias("article"), "stored_score", "stored_idf", "tf", "idf", "tf_idf", "log_entropy")
 
 
