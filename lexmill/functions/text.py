@@ -74,7 +74,10 @@ def plain_paragraphs(raw: Column, exact: bool = True) -> Column:
     """
     raw = F.coalesce(raw, F.array().cast("array<string>"))
     if exact:
-        plain = _texts(raw)
+        # only rows with markup are read in Python; a paragraph without any is its own text, a blank one empty
+        marked = F.exists(raw, lambda p: F.coalesce(F.contains(p, F.lit("<")) | F.contains(p, F.lit("&")), F.lit(False)))
+        unmarked = F.transform(raw, lambda p: F.when(p.rlike(r"(?U)\S"), p).otherwise(""))
+        plain = F.coalesce(_texts(F.when(marked, raw)), unmarked)
     else:
         plain = F.transform(raw, strip_tags)
     return F.filter(plain, lambda p: p.isNotNull() & (p != ""))

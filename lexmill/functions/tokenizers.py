@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The stop words of the naive tokenizer.
@@ -44,26 +44,45 @@ def word(text: Column) -> Column:
     return F.filter(words, kept)
 
 
-def gpt(text: Column, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> Column:
-    """Sub-word tokens of a public byte-level BPE vocabulary, decoded one by one, the blank ones left out."""
+#: Encoders by vocabulary, one for each Python worker.
+_CODERS: dict[int, object] = {}
 
-    @F.pandas_udf("array<string>")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import base64
 
-        import tiktoken
+def _coder(raw: bytes):
+    """The encoder of a ``.tiktoken`` vocabulary, built once in each worker."""
+    import base64
 
-        with open(vocabulary, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
+    import tiktoken
+
+    key = hash(raw)
+    if key not in _CODERS:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _CODERS[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _CODERS[key]
+
 
-        def cut(value: str | None) -> list[str]:
-            decoded = (coder.decode([i]) for i in coder.encode_ordinary(value)) if value else ()
-            return [t for t in decoded if t.strip()]
+def gpt(text: Column, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> Column:
+    """Sub-word tokens of a public byte-level BPE vocabulary, decoded one by one, the blank ones left out.
+
+    The driver reads the vocabulary and broadcasts it (under 1 MB), so the executors need no file.
+    """
+    with open(vocabulary, "rb") as file:
+        shared = SparkSession.active().sparkContext.broadcast(file.read())
+
+    @F.pandas_udf("array<string>")
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from lexmill.functions.tokenizers import _coder
 
+        coder = _coder(shared.value)
+        known: dict[int, str] = {}
         for batch in batches:
-            yield batch.map(cut)
+            out = []
+            for ids in coder.encode_ordinary_batch([v or "" for v in batch], num_threads=1):
+                for i in set(ids).difference(known):
+                    known[i] = coder.decode([i])
+                out.append([t for t in map(known.__getitem__, ids) if t.strip()])
+            yield pd.Series(out, dtype=object)
 
     return tokens(text)
 

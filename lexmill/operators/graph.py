@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lexmill.operators.skew import heavy_counts, skew_join
-from lexmill.session import materialise
+from lexmill.operators.skew import fits_broadcast, heavy_counts, skew_join
+from lexmill.session import discard, materialise
 
 
 def edges(links: DataFrame) -> DataFrame:
@@ -82,7 +82,8 @@ def pagerank(links: DataFrame, damping: float = 0.85, max_iter: int = 100, tol:
     of the dangling nodes over all, until the change in L1 is below ``tol``. Nodes are the ends of edges only; without an
     edge there are no scores, no iterations and no residual. Each round is one job over the edges, joined to the scores by
     source without piling a hot source onto one task, and writes the scores to the shared folder, which keeps the plan short
-    and survives lost executors. A graph counted to have at most ``one_task_edges`` edges is iterated within one task
+    and survives lost executors. The sums of a round are taken while it is written: its change is known from the next one, so
+    one round more than needed is computed, and dropped. Only the last two rounds stay on disk. A graph counted to have at most ``one_task_edges`` edges is iterated within one task
     instead, with the same steps. ``normalise`` divides by the sum in the end.
     """
     graph = materialise(edges(links), "pr-edges")
@@ -97,21 +98,31 @@ def pagerank(links: DataFrame, damping: float = 0.85, max_iter: int = 100, tol:
     n = points.count()
     if not n:
         return PageRank(links.sparkSession.createDataFrame([], "article long, score double"), 0, 0.0, 0)
-    heavy = heavy_counts(graph, "src")[1]["src"]
-    steps = materialise(skew_join(graph, out_degrees(graph), "src", "inner", heavy=heavy).select("src", "dst", (F.col("w") / F.col("out_degree")).alias("p")), "pr-steps")
-    scores = points.select("node", "dangling", F.lit(1.0 / n).alias("u"))
+    degrees = out_degrees(graph)
+    heavy = {} if fits_broadcast(degrees) else heavy_counts(graph, "src")[1]["src"]
+    steps = materialise(skew_join(graph, degrees, "src", "inner", heavy=heavy).select("src", "dst", (F.col("w") / F.col("out_degree")).alias("p")), "pr-steps")
+    discard(graph)
+    # of a round: u before and r = u + shift after the dangling mass is spread; gap is the change of the round before
+    scores = points.select("node", "dangling", F.lit(1.0 / n).alias("u"), F.lit(None).cast("double").alias("before"))
     shift, residual, done = 0.0, 0.0, 0
-    for done in range(1, max_iter + 1):
-        now = scores.select("node", "dangling", (F.col("u") + F.lit(shift)).alias("r"))
+    while True:
+        now = scores.select("node", "dangling", (F.col("u") + F.lit(shift)).alias("r"), "before")
+        if done >= max_iter:
+            if done:
+                residual = now.agg(F.sum(F.abs(F.col("r") - F.col("before")))).first()[0]
+            break
         sent = skew_join(steps, now.select(F.col("node").alias("src"), "r"), "src", "inner", heavy=heavy)
         got = sent.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("r")).alias("s"))
-        new = now.join(got, "node", "left").select("node", "dangling", "r", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("u"))
-        scores = materialise(new, "pr-scores")
-        lost = scores.where("dangling").agg(F.coalesce(F.sum("u"), F.lit(0.0))).first()[0]
-        shift = damping * lost / n
-        residual = scores.agg(F.sum(F.abs(F.col("u") + F.lit(shift) - F.col("r")))).first()[0]
-        if residual < tol:
+        new = now.join(got, "node", "left").select("node", "dangling", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("u"), F.col("r").alias("before"), F.abs(F.col("r") - F.col("before")).alias("gap"))
+        seen = Observation()
+        fresh = materialise(new.observe(seen, F.sum(F.when(F.col("dangling"), F.col("u"))).alias("lost"), F.sum("gap").alias("gap")), "pr-scores")
+        if done and seen.get["gap"] < tol:
+            residual = seen.get["gap"]
+            discard(fresh)
             break
+        if done:
+            discard(scores)
+        scores, shift, done = fresh, damping * (seen.get["lost"] or 0.0) / n, done + 1
     final = scores.select(F.col("node").alias("article"), (F.col("u") + F.lit(shift)).alias("score"))
     if normalise:
         total = final.agg(F.sum("score")).first()[0]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import LINK, unquote
 from lexmill.operators.skew import skew_join, skew_joins
+from lexmill.session import materialise
 
 
 def by_title(articles: DataFrame) -> DataFrame:
@@ -21,6 +22,7 @@ def resolve_links(links: DataFrame, articles: DataFrame) -> DataFrame:
     (of several articles, the smallest id); ends already known stay. Otherwise both ends stay as they were. Repeated link
     rows stay. Hot pages and titles are joined without piling onto one task.
     """
+    articles = materialise(articles.select("article_id", "page_id", "title"), "names")
     pages = articles.where("page_id is not null").groupBy("page_id").agg(F.min("article_id").alias("__from")).withColumnRenamed("page_id", "from_page_id")
     titles = by_title(articles).select(F.col("title").alias("to_title"), F.col("article_id").alias("__to"))
     both = skew_joins(links, "left", (pages, "from_page_id"), (titles, "to_title"))
@@ -87,9 +89,20 @@ def rewrite_links(pages: DataFrame, articles: DataFrame) -> DataFrame:
     return whole.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "paragraph"))), lambda s: s["paragraph"]).alias("paragraphs"))
 
 
+def article_detail(articles: DataFrame, page_id: int, paragraphs: str = "plain_text_paragraphs") -> DataFrame:
+    """The article of one page: ``(page_id, article_id, title, paragraphs)``, its links rewritten; no row if there is none.
+
+    Of several articles of the page that of the smallest id. Null and empty paragraphs arrays give an empty array.
+    """
+    one = articles.where(F.col("page_id") == page_id).orderBy("article_id").limit(1)
+    shown = rewrite_links(one.select("page_id", F.col(paragraphs).alias("raw_paragraphs")).where(F.size(F.col("raw_paragraphs")) > 0), articles)
+    none = F.array().cast("array<string>")
+    return one.select("page_id", "article_id", "title").join(shown, "page_id", "left").select("page_id", "article_id", "title", F.coalesce("paragraphs", none).alias("paragraphs"))
+
+
 def search_links(links: DataFrame, articles: DataFrame, text: str) -> DataFrame:
     """Links whose title, source title or target title contains ``text``, whatever its case."""
-    titles = articles.groupBy("article_id").agg(F.min("title").alias("t"))
+    titles = materialise(articles.groupBy("article_id").agg(F.min("title").alias("t")), "names")
     sources = titles.select(F.col("article_id").alias("from_article"), F.col("t").alias("from_title"))
     targets = titles.select(F.col("article_id").alias("to_article"), F.col("t").alias("target_title"))
     rows = skew_joins(links, "left", (sources, "from_article"), (targets, "to_article"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +12,6 @@ from lexmill.functions.text import body
 from lexmill.functions.tokenizers import naive
 from lexmill.operators.links import by_title
 from lexmill.operators.search import HybridParams
-from lexmill.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -95,72 +93,73 @@ def distractor_queries(entries: DataFrame, support: DataFrame, params: QAParams)
     return primary.unionByName(rows)
 
 
-def _greedy(params: QAParams):
-    """Chooses the distractors of one entry from its ranked search results."""
-    most, build = max(params.caps), params.variant == "build"
-    fold = str.lower if build else str
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        sup = int(pdf["supporting_tokens"].iloc[0])
-        seen = {fold(t) for t in pdf["supporting_titles"].iloc[0]}
-        lists: dict[int, list[tuple[str, list]]] = {0: [], 1: []}
-        for (kind, _), part in pdf.groupby(["kind", "pos"], sort=True):
-            hits = part[part["rank"].notna()].sort_values("rank")
-            lists[kind].append((part["query"].iloc[0], list(zip(hits["article_id"], hits["title"], hits["n_tokens"], strict=True))))
-        out, used, asked = [], 0, set()
-
-        def take(hits: list) -> None:
-            nonlocal used
-            for article_id, title, n in hits:
-                if fold(title) in seen or n < params.min_tokens or sup + used + n > most:
-                    continue
-                seen.add(fold(title))
-                used += int(n)
-                out.append((int(article_id), title, int(n)))
-                if sup + used >= most:
-                    return
-
-        queue, fallbacks, tried = list(lists[0]), list(lists[1]), 0
-        while sup + used < most:
-            if queue:
-                query, hits = queue.pop(0)
-                asked.add(query)
-                take(hits)
-            elif fallbacks and tried < params.max_fallbacks:
-                query, hits = fallbacks.pop(0)
-                if query in asked:
-                    continue
-                tried += 1
-                queue.append((query, hits))
-            else:
-                break
-        qa_id = pdf["qa_id"].iloc[0]
-        return pd.DataFrame([(qa_id, i, a, t, n) for i, (a, t, n) in enumerate(out)], columns=["qa_id", "place", "article_id", "title", "n_tokens"])
-
-    return choose
+def asked_queries(queries: DataFrame, max_fallbacks: int) -> DataFrame:
+    """The queries that are asked, in order: all primary ones, and the first fallbacks that repeat no query before them."""
+    first = Window.partitionBy("qa_id", "query").orderBy("kind", "pos")
+    rows = queries.withColumn("__first", F.row_number().over(first)).where("kind = 0 or __first = 1").drop("__first")
+    turn = F.row_number().over(Window.partitionBy("qa_id", "kind").orderBy("pos"))
+    return rows.withColumn("__turn", turn).where((F.col("kind") == 0) | (F.col("__turn") <= max_fallbacks)).drop("__turn")
 
 
-def select_distractors(entries: DataFrame, support: DataFrame, status: DataFrame, sized: DataFrame, search: Callable[[DataFrame, HybridParams], DataFrame], params: QAParams) -> DataFrame:
-    """``(qa_id, place, article_id, title, n_tokens)``: the distractors of each processed entry, in the order chosen.
+_PICKED = "array<struct<article_id:bigint,title:string,n_tokens:bigint>>"
+
+
+def _choose(items: Column, params: QAParams) -> Column:
+    """What is taken of an entry's ``items`` in their order, and the fallbacks tried: ``STRUCT<used, tried, seen, picked>``.
+
+    Items: ``STRUCT<kind, pos, rank, article_id, title, n_tokens>``; one without an article opens a query. An item is taken if
+    its title is not among the supporting or taken ones, it has ``min_tokens`` and fits under the largest cap.
+    """
+    most = max(params.caps)
+    fold = F.lower if params.variant == "build" else (lambda c: c)
+    start = F.struct(F.col("supporting_tokens").cast("long").alias("used"), F.lit(0).alias("tried"), F.transform("supporting_titles", fold).alias("seen"), F.array().cast(_PICKED).alias("picked"))
+
+    def step(state: Column, x: Column) -> Column:
+        room = state["used"] < most
+        fits = room & x["article_id"].isNotNull() & (x["n_tokens"] >= params.min_tokens) & (state["used"] + x["n_tokens"] <= most) & ~F.array_contains(state["seen"], fold(x["title"]))
+        taken = F.struct(
+            (state["used"] + x["n_tokens"]).alias("used"), state["tried"].alias("tried"), F.array_append(state["seen"], fold(x["title"])).alias("seen"),
+            F.array_append(state["picked"], F.struct(x["article_id"].alias("article_id"), x["title"].alias("title"), x["n_tokens"].alias("n_tokens"))).alias("picked"),
+        )
+        opened = F.struct(state["used"].alias("used"), (state["tried"] + 1).alias("tried"), state["seen"].alias("seen"), state["picked"].alias("picked"))
+        return F.when(F.coalesce(fits, F.lit(False)), taken).when(room & x["article_id"].isNull() & (x["kind"] == 1), opened).otherwise(state)
+
+    return F.aggregate(items, start, step)
+
+
+def choose_distractors(entries: DataFrame, support: DataFrame, status: DataFrame, sized: DataFrame, search: Callable[[DataFrame, HybridParams], DataFrame], params: QAParams) -> DataFrame:
+    """One row for each processed entry: ``(qa_id, fallbacks, picked)``, ``picked`` the distractors in the order chosen.
 
     All primary and fallback searches of all entries run as two batches, each distinct query once; then each entry goes
-    through its own results (at most queries x limit rows) and takes, in order, what is no supporting document, not yet
-    taken, not below ``min_tokens`` and fits under the largest cap. ``search(queries, params)`` is the batched search.
+    through its own results (at most queries x limit rows) by one built-in fold. ``search(queries, params)`` is the batched
+    search.
     """
-    ship_package(entries.sparkSession)
     good = status.where("status = 'processed'").select("qa_id", "supporting_tokens")
     asked = distractor_queries(entries.join(good.select("qa_id"), "qa_id", "left_semi"), support.join(good.select("qa_id"), "qa_id", "left_semi"), params)
+    asked = asked_queries(asked, params.max_fallbacks)
     names = support.groupBy("qa_id").agg(F.collect_set("title").alias("supporting_titles"))
-    parts = []
+    none = {"rank": "int", "article_id": "long", "title": "string", "n_tokens": "long"}
+    parts = [asked.select("qa_id", "kind", "pos", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])]
     for kind, p in ((0, params.search), (1, params.fallback_search)):
         own = asked.where(F.col("kind") == kind)
         queries = own.select(F.col("query").alias("query_id"), "query").distinct()
         hits = search(queries, p).select(F.col("query_id").alias("query"), "rank", "article_id", "title")
         hits = hits.join(sized.select("article_id", "n_tokens"), "article_id")
-        parts.append(own.join(hits, "query", "left"))
-    rows = parts[0].unionByName(parts[1]).join(good, "qa_id").join(names, "qa_id")
-    kind = dict(entries.dtypes)["qa_id"]
-    return rows.groupBy("qa_id").applyInPandas(_greedy(params), f"qa_id {kind}, place int, article_id long, title string, n_tokens long")
+        parts.append(own.join(hits, "query").select("qa_id", "kind", "pos", *[F.col(c).cast(t).alias(c) for c, t in none.items()]))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    items = rows.groupBy("qa_id").agg(F.array_sort(F.collect_list(F.struct("kind", "pos", F.coalesce("rank", F.lit(0)).alias("rank"), "article_id", "title", "n_tokens"))).alias("items"))
+    chosen = good.join(items, "qa_id").join(names, "qa_id").select("qa_id", _choose(F.col("items"), params).alias("c"))
+    return chosen.select("qa_id", F.col("c.tried").alias("fallbacks"), F.col("c.picked").alias("picked"))
+
+
+def select_distractors(entries: DataFrame, support: DataFrame, status: DataFrame, sized: DataFrame, search: Callable[[DataFrame, HybridParams], DataFrame], params: QAParams) -> DataFrame:
+    """``(qa_id, place, article_id, title, n_tokens)``: the distractors of each processed entry; see :func:`choose_distractors`."""
+    return distractors_of(choose_distractors(entries, support, status, sized, search, params))
+
+
+def distractors_of(chosen: DataFrame) -> DataFrame:
+    """The rows of :func:`choose_distractors`, one for each distractor, with its place from 0."""
+    return chosen.select("qa_id", F.posexplode("picked").alias("place", "p")).select("qa_id", "place", "p.article_id", "p.title", "p.n_tokens")
 
 
 def context_slices(status: DataFrame, distractors: DataFrame, caps: tuple[int, ...], variant: str = "build") -> DataFrame:
@@ -193,12 +192,32 @@ def dataset(entries: DataFrame, support: DataFrame, distractors: DataFrame, slic
     return rows.select("cap", F.col("qa_id").alias("id"), "question", F.col("answer").alias("gold_answer"), "supporting_docs", F.coalesce("distractor_docs", none).alias("distractor_docs"), "context_size")
 
 
-def report(status: DataFrame, slices: DataFrame) -> DataFrame:
-    """One row: entries by status, and the mean fill and number of distractors at the largest cap."""
+def report(status: DataFrame, slices: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """One row: entries by status, and the mean fill, distractors and fallbacks (of ``chosen``) at the largest cap."""
     biggest = slices.groupBy("qa_id").agg(F.max(F.struct("cap", "context_size", "n_distractors")).alias("x"))
     fill = biggest.agg(F.coalesce(F.avg(F.col("x.context_size") / F.col("x.cap")), F.lit(0.0)).alias("avg_fill"), F.coalesce(F.avg("x.n_distractors"), F.lit(0.0)).alias("avg_distractors"))
     counts = status.agg(F.count(F.lit(1)).alias("n_entries"), *(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("processed", "skipped_missing", "skipped_overflow", "no_facts")))
-    return counts.join(F.broadcast(fill), F.lit(True))
+    out = counts.join(F.broadcast(fill), F.lit(True))
+    if chosen is not None:
+        out = out.join(F.broadcast(chosen.agg(F.coalesce(F.avg("fallbacks"), F.lit(0.0)).alias("avg_fallbacks"))), F.lit(True))
+    return out
+
+
+@dataclass(frozen=True)
+class Target:
+    """A throughput in entries a second that a run of at least ``least`` entries should reach."""
+
+    per_second: float
+    least: int = 20
+
+    def check(self, done: int, seconds: float) -> dict:
+        """The throughput, and whether it is below the target; too few entries never are."""
+        rate = done / seconds if seconds > 0 else 0.0
+        return {"throughput": rate, "below_target": done >= self.least and rate < self.per_second}
+
+
+#: The throughput each command should reach.
+TARGETS = {"build": Target(20.0), "generate": Target(5.0), "profile": Target(800.0, 0)}
 
 
 def validate_index(vocab: DataFrame, postings: DataFrame) -> None:

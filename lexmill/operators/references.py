@@ -8,12 +8,13 @@ keys that never lost one, a running sum for the others.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators.skew import heavy_counts, salted, skew_join
+from lexmill.operators.skew import fits_broadcast, heavy_counts, salted, skew_join
 from lexmill.session import materialise
 
 #: Reference field -> name space of its key.
@@ -60,23 +61,27 @@ def existence_deltas(articles: DataFrame, deletions: DataFrame) -> DataFrame:
     return article_changes(articles, deletions).select("ts", F.explode(steps).alias("d")).select("d.space", "d.key", "ts", "d.delta")
 
 
-def existence_counts(deltas: DataFrame) -> DataFrame:
-    """The signed existence changes summed for each key: ``(space, key, first, n_lost)``.
+def existence_moments(deltas: DataFrame) -> DataFrame:
+    """The net changes: ``(space, key, ts, delta)``, one row for each time at which the number of articles of a key changes."""
+    return deltas.groupBy("space", "key", "ts").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+
+
+def existence_counts(moments: DataFrame) -> DataFrame:
+    """The signed changes summed for each key: ``(space, key, first, n_lost)``.
 
     ``first`` is the time of the first gain, ``n_lost`` the number of times at which a key lost more articles than it gained.
     A key that never lost one exists from ``first`` on; the others need :func:`existence_intervals`.
     """
-    moments = deltas.groupBy("space", "key", "ts").agg(F.sum("delta").alias("delta")).where("delta <> 0")
     return moments.groupBy("space", "key").agg(F.min(F.when(F.col("delta") > 0, F.col("ts"))).alias("first"), F.count_if(F.col("delta") < 0).alias("n_lost"))
 
 
-def existence_intervals(deltas: DataFrame) -> DataFrame:
+def existence_intervals(moments: DataFrame) -> DataFrame:
     """When each key exists: ``(space, key, since, until)``, ``until`` excluded and null for those that still exist.
 
     The running sum is taken in two levels, over the days of a key and within each day, so a key with very many changes is
     spread over its days. The last window runs over a key's true switches only and keeps one row at a time.
     """
-    moments = deltas.groupBy("space", "key", "ts").agg(F.sum("delta").alias("delta")).where("delta <> 0").withColumn("day", F.to_date("ts"))
+    moments = moments.withColumn("day", F.to_date("ts"))
     inside = Window.partitionBy("space", "key", "day").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     days = moments.groupBy("space", "key", "day").agg(F.sum("delta").alias("of_day"))
     before = Window.partitionBy("space", "key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,19 +108,15 @@ def check_references(links: DataFrame, articles: DataFrame, deletions: DataFrame
     A link whose ``loaded_at`` is null cannot be placed in time: its references are orphans. Null fields are no
     references. Empty tables give no rows (no articles: every reference is an orphan).
     """
-    deltas = materialise(existence_deltas(articles, deletions), "deltas")
-    counts = materialise(existence_counts(deltas), "counts")
-    lossy = counts.where("n_lost > 0")
+    moments = materialise(existence_moments(existence_deltas(articles, deletions)), "moments")
     once = materialise(first_links(links), "links")
-    _, heavy = heavy_counts(links, *FIELDS)
-    last = once.agg(F.max("loaded_at")).first()[0]
-    spells = existence_intervals(deltas.join(lossy.select("space", "key"), ["space", "key"], "left_semi"))
-    # an interval has a row for each month it touches, up to the last reference
-    end = F.least(F.coalesce("until", F.lit(last)), F.lit(last).cast("timestamp"))
-    spells = spells.where(F.col("since") <= F.lit(last)).withColumn("month", F.explode(F.sequence(F.trunc("since", "MM"), F.trunc(end, "MM"), F.expr("interval 1 month"))))
-    spells = materialise(spells, "spells")
+    counts = {s: existence_counts(moments.where(F.col("space") == s)) for s in SPACES}
+    heavy: dict[str, dict] = {f: {} for f in FIELDS}
+    if not all(map(fits_broadcast, counts.values())):
+        heavy = heavy_counts(links, *FIELDS)[1]
+    last = F.broadcast(once.agg(F.max("loaded_at").alias("last")))
     parts = []
-    for space in ("article", "page", "title"):
+    for space in SPACES:
         fields = [f for f, s in FIELDS.items() if s == space]
         if len(fields) == 1:
             refs = once.select("link_id", F.lit(fields[0]).alias("ref_field"), F.col(fields[0]).alias("key"), "loaded_at")
@@ -124,20 +125,20 @@ def check_references(links: DataFrame, articles: DataFrame, deletions: DataFrame
             refs = once.select("link_id", F.explode(both).alias("r"), "loaded_at").select("link_id", "r.ref_field", "r.key", "loaded_at")
         refs = refs.where("key is not null")
         kind = refs.schema["key"].dataType
-        hot: dict = {}
-        for f in fields:
-            for value, n in heavy[f].items():
-                hot[value] = hot.get(value, 0) + n
-        own = counts.where(F.col("space") == space).select(F.col("key").cast(kind).alias("key"), "first", (F.col("n_lost") > 0).alias("lossy"))
+        hot = dict(reduce(Counter.__add__, (Counter(heavy[f]) for f in fields)))
+        own = counts[space].select(F.col("key").cast(kind).alias("key"), "first", (F.col("n_lost") > 0).alias("lossy"))
         judged = skew_join(refs, own, "key", "left", heavy=hot)
-        orphan = F.coalesce(F.col("loaded_at") < F.col("first"), F.lit(True))
-        clear = judged.where("not coalesce(lossy, false)").select("link_id", "ref_field", "loaded_at", orphan.alias("orphan"))
+        early = F.coalesce(F.col("loaded_at") < F.col("first"), F.lit(True))
+        clear = judged.where("not coalesce(lossy, false)").select("link_id", "ref_field", "loaded_at", early.alias("orphan"))
         unclear = judged.where("lossy").select("link_id", "ref_field", "key", "loaded_at", F.trunc("loaded_at", "MM").alias("month"))
-        own = spells.where(F.col("space") == space).select(F.col("key").cast(kind).alias("key"), "month", "since", "until")
-        a, b = salted(unclear, own, "key", hot)
+        lossy = counts[space].where("n_lost > 0").select("space", "key")
+        spells = existence_intervals(moments.where(F.col("space") == space).join(lossy, ["space", "key"], "left_semi"))
+        # an interval has a row for each month it touches, up to the last reference
+        months = F.sequence(F.trunc("since", "MM"), F.trunc(F.least(F.coalesce("until", "last"), F.col("last")), "MM"), F.expr("interval 1 month"))
+        spells = spells.join(last, spells["since"] <= F.col("last")).select(F.col("key").cast(kind).alias("key"), F.explode(months).alias("month"), "since", "until")
+        a, b = salted(unclear, spells, "key", hot)
         inside = (F.col("loaded_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("loaded_at") < F.col("until")))
-        same = [a[c] == b[c] for c in ("key", "month", "__salt")]
-        held = a.join(b, [*same, inside], "left").select("link_id", "ref_field", "loaded_at", F.col("since").isNull().alias("orphan"))
+        held = a.join(b, [*(a[c] == b[c] for c in ("key", "month", "__salt")), inside], "left").select("link_id", "ref_field", "loaded_at", F.col("since").isNull().alias("orphan"))
         out = clear.unionByName(held)
         parts.append(out.where("orphan") if orphans_only else out)
     return reduce(DataFrame.unionByName, parts)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import snippet
 from lexmill.functions.tokenizers import naive
+from lexmill.session import materialise
 
 #: Scores that agree to so many decimals are ties, so that the order of a distributed sum decides nothing.
 TIE_DECIMALS = 12
@@ -44,6 +45,11 @@ def query_terms(queries: DataFrame, tokens: Callable[[Column], Column] = naive)
     return cut.select("query_id", F.size("t").alias("n_terms"), F.explode(F.array_distinct("t")).alias("term"))
 
 
+def query_tokens(queries: DataFrame, tokens: Callable[[Column], Column] = naive) -> DataFrame:
+    """``(query_id, tokens)``: the tokens of each query as they are shown beside its results; null and empty give ``[]``."""
+    return queries.select("query_id", tokens(F.col("query")).alias("tokens"))
+
+
 def least_coverage(n_terms: Column, params: HybridParams) -> Column:
     """Terms of the query that an article must hold."""
     if params.policy == "strict":
@@ -121,7 +127,7 @@ def search_with_fallback(queries: DataFrame, vocab: DataFrame, postings: DataFra
 
     ``(query_id, rank, article_id, title, score, snippet, via)``; ``articles`` also has ``plain_text_paragraphs``.
     """
-    hybrid = search_hybrid(queries, vocab, postings, ranks, articles, params, tokens).withColumn("via", F.lit("hybrid"))
+    hybrid = materialise(search_hybrid(queries, vocab, postings, ranks, articles, params, tokens), "hybrid").withColumn("via", F.lit("hybrid"))
     left = queries.join(hybrid.select("query_id").distinct(), "query_id", "left_anti")
     title = search_titles_exact(left, articles, params.limit).withColumn("score", F.lit(1.0)).withColumn("via", F.lit("title"))
     rows = hybrid.unionByName(title)

@@ -11,9 +11,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A key is heavy if the sketch gives it at least this share of the rows, or that of an even shuffle partition if it is less.
 MIN_SHARE = 0.002
@@ -62,10 +64,21 @@ def heavy_keys(df: DataFrame, *keys: str, **detect) -> tuple[int, dict[str, list
     return total, {key: list(values) for key, values in found.items()}
 
 
-def _key_frame(df: DataFrame, key: str, values: Iterable) -> DataFrame:
-    """The heavy values as a one-column table; a literal list, so that every use of it agrees."""
-    field = T.StructField(key, df.schema[key].dataType, True)
-    return df.sparkSession.createDataFrame([(v,) for v in values], T.StructType([field]))
+def _key_frame(df: DataFrame, key: str, values: Iterable, **more: list) -> DataFrame:
+    """The heavy values as a table, with further columns of whole numbers; a literal list, so that every use of it agrees."""
+    values, kind = list(values), df.schema[key].dataType
+    own = T.StructType([T.StructField(key, kind, True), *[T.StructField(name, T.IntegerType(), False) for name in more]])
+    try:
+        columns = [pa.array(values, to_arrow_type(kind)), *[pa.array(x, pa.int32()) for x in more.values()]]
+        return df.sparkSession.createDataFrame(pa.table(columns, names=[key, *more]), own)
+    except (pa.ArrowException, TypeError):
+        return df.sparkSession.createDataFrame(list(zip(values, *more.values(), strict=True)), own)
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own estimate of ``df`` is below the session's limit for broadcasts."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
 
 
 def split_by_heavy(df: DataFrame, key: str, values: Iterable) -> tuple[DataFrame, DataFrame]:
@@ -85,17 +98,18 @@ def salted(big: DataFrame, small: DataFrame, key: str, heavy: dict | list, salt:
     2 / share rows for each row a key has there. Rows of ``big`` with a
     null key, which match nothing, are spread too. ``big`` is read once, whatever is heavy.
     """
-    spark, kind = big.sparkSession, big.schema[key].dataType
-    mixed = F.xxhash64(F.spark_partition_id(), *[F.col(f"`{f.name}`") for f in big.schema if _orderable(f.dataType)])
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # whole numbers tell rows apart as a rule, and cost a scan little
+    plain = [f.name for f in big.schema if isinstance(f.dataType, T.IntegralType)] or [f.name for f in big.schema if _orderable(f.dataType)]
+    mixed = F.xxhash64(F.spark_partition_id(), *[F.col(f"`{name}`") for name in plain])
+    partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = F.when(F.col(key).isNull(), F.lit(partitions))
     if not heavy:
         return big.withColumn(salt, F.when(F.col(key).isNull(), F.pmod(mixed, F.lit(partitions))).otherwise(F.lit(0)).cast("int")), small.withColumn(salt, F.lit(0))
     if not isinstance(heavy, dict):
         heavy = dict.fromkeys(heavy, partitions) | {None: 1}
     least = min(heavy.values())
-    rows = [(k, max(2, math.ceil(n / least))) for k, n in heavy.items() if k is not None]
-    salts = F.broadcast(spark.createDataFrame(rows, T.StructType([T.StructField(key, kind, True), T.StructField("__salts", T.IntegerType(), False)])))
+    rows = {k: max(2, math.ceil(n / least)) for k, n in heavy.items() if k is not None}
+    salts = F.broadcast(_key_frame(big, key, rows, __salts=list(rows.values())))
     out = big.join(salts, key, "left").withColumn(salt, F.pmod(mixed, spread.otherwise(F.coalesce("__salts", F.lit(1)))).cast("int"))
     copies = small.join(salts, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
     return out.drop("__salts"), copies.drop("__salts")
@@ -104,9 +118,9 @@ def salted(big: DataFrame, small: DataFrame, key: str, heavy: dict | list, salt:
 def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", heavy: dict | list | None = None, **detect) -> DataFrame:
     """Join ``big`` to ``small`` (at most one row for each key) without piling a heavy key onto one task.
 
-    ``how``: ``inner`` or ``left``. Both sides are :func:`salted`: heavy keys are spread over as many salts as they need, and
+    ``how``: ``inner`` or ``left``. A ``small`` that Spark estimates to fit a broadcast is broadcast. Else both sides are :func:`salted`: heavy keys are spread over as many salts as they need, and
     so are rows of ``big`` with a null key, which match nothing and are dropped (``inner``) or kept with nulls (``left``).
-    ``big`` is read once and shuffled once (not at all if Spark finds ``small`` fit to broadcast). ``heavy`` may name the
+    ``big`` is read once and shuffled once. ``heavy`` may name the
     heavy keys with their rows, as :func:`heavy_counts` gives them; else they are looked for in ``big``. Columns of ``small``
     other than the key that also occur in ``big`` raise ``ValueError``. Repeated rows of ``big`` stay repeated.
     """
@@ -115,18 +129,21 @@ def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", he
     clash = (set(map(str.lower, big.columns)) & set(map(str.lower, small.columns))) - {key.lower()}
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
+    columns = [key, *[c for c in big.columns if c != key], *[c for c in small.columns if c != key]]
+    if fits_broadcast(small):
+        return big.join(small, key, how).select(columns)
     if heavy is None:
         heavy = heavy_counts(big, key, **detect)[1][key]
-    columns = [key, *[c for c in big.columns if c != key], *[c for c in small.columns if c != key]]
     a, b = salted(big.where(F.col(key).isNotNull()) if how == "inner" else big, small, key, heavy)
     return a.join(b, [key, "__salt"], how).select(columns)
 
 
 def skew_joins(big: DataFrame, how: str, *sides: tuple[DataFrame, str]) -> DataFrame:
     """:func:`skew_join` of ``big`` with each ``(small, key)`` in turn; the heavy keys of all are found in one pass."""
-    heavy = heavy_counts(big, *dict.fromkeys(key for _, key in sides))[1]
+    large = list(dict.fromkeys(key for small, key in sides if not fits_broadcast(small)))
+    heavy = heavy_counts(big, *large)[1] if large else {}
     for small, key in sides:
-        big = skew_join(big, small, key, how, heavy[key])
+        big = skew_join(big, small, key, how, heavy.get(key))
     return big
 
 

@@ -68,7 +68,18 @@ def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
         atexit.register(_release_quietly, spark)
     _WRITTEN.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._lexmill_path = path
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table behind a frame that :func:`materialise` gave; frames that still read it can no longer be run."""
+    path = getattr(df, "_lexmill_path", None)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> int:

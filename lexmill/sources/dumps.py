@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import random
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,27 +16,44 @@ from lexmill.schemas import DUMP
 SHARD = "wiki_*.bz2"
 
 
-def shards(root: str, fallback: bool = False) -> list[str]:
-    """The shards below ``root`` by folder and name; a missing root has none.
+def shards(root: str, fallback: bool = False, spark: SparkSession | None = None) -> list[str]:
+    """The shards below ``root`` by folder and name, on any file system Spark knows; a missing root has none.
 
     ``fallback`` looks into ``<root>-processed`` if the root is missing or holds none.
     """
+    spark = spark or SparkSession.active()
+    path = spark._jvm.org.apache.hadoop.fs.Path
     for place in (root, f"{root.rstrip('/')}-processed") if fallback else (root,):
-        if os.path.isdir(place):
-            found = [str(f) for d in sorted(Path(place).iterdir()) if d.is_dir() for f in sorted(d.glob(SHARD))]
-            if found:
-                return found
+        found = path(place).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path(f"{place.rstrip('/')}/*/{SHARD}"))
+        found = sorted((f.getPath().toString() for f in found or () if f.isFile()), key=lambda p: p.split("/")[-2:])
+        if found:
+            return found
     return []
 
 
-def require_shards(root: str, fallback: bool = False) -> list[str]:
+def require_shards(root: str, fallback: bool = False, spark: SparkSession | None = None) -> list[str]:
     """As :func:`shards`; none raise ``FileNotFoundError``."""
-    found = shards(root, fallback)
+    found = shards(root, fallback, spark)
     if not found:
         raise FileNotFoundError(f"no {SHARD} one folder below {root}")
     return found
 
 
+def write_shards(lines: DataFrame, root: str) -> list[str]:
+    """Write ``(folder, line)`` as compressed shards below ``root``, in the folders named; the shards."""
+    spark = lines.sparkSession
+    lines.select("folder", F.col("line").alias("value")).write.partitionBy("folder").option("compression", "bzip2").text(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.globStatus(path(f"{root}/folder=*")):
+        place = path(f"{root}/{folder.getPath().getName().removeprefix('folder=')}")
+        fs.mkdirs(place)
+        for i, file in enumerate(sorted(f.getPath().toString() for f in fs.globStatus(path(f"{folder.getPath().toString()}/part-*")))):
+            fs.rename(path(file), path(place, f"wiki_{i:02d}.bz2"))
+        fs.delete(folder.getPath(), True)
+    return shards(root, spark=spark)
+
+
 def lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """``(line, file)``: the lines that are not blank."""
     return spark.read.text(paths).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")).where("trim(line) <> ''")
@@ -87,7 +102,7 @@ def ingest(spark: SparkSession, root: str, limit: int | None = None, tokens: Cal
     from lexmill.operators.corpus import first_by
     from lexmill.session import materialise
 
-    decoded = materialise(decode(records(spark, require_shards(root)), tokens, exact_html), "decoded")
+    decoded = materialise(decode(records(spark, require_shards(root, spark=spark)), tokens, exact_html), "decoded")
     once = first_by(decoded, ["page_id"], [F.asc("file"), F.asc("title"), F.asc(F.to_json(F.struct("raw_paragraphs")))])
     if limit:
         once = once.orderBy("page_id").limit(limit)

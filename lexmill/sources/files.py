@@ -8,9 +8,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.operators.corpus import with_row_ids
 from lexmill.schemas import QA_ENTRY
 
 
+#: Options of the CSV files: quotes are doubled, white space and empty strings stay.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+
+
 def qa_entries(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """``(qa_id, question, answer, supporting_facts)`` of a JSON array; ``limit`` keeps its first entries (0: all)."""
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{QA_ENTRY}>>")).alias("pos", "e"))
@@ -21,18 +26,20 @@ def qa_entries(spark: SparkSession, path: str, limit: int | None = None) -> Data
 
 
 def read_queries(spark: SparkSession, path: str, count: int | None = None) -> DataFrame:
-    """``(query_id, query)`` of a file of one query a line, stripped, blank ones dropped, from 0.
+    """``(query_id, query)`` of a file, or a folder of files in the order of their names, of one query a line, stripped, blank
+    ones dropped, from 0.
 
     ``count`` cuts them, or repeats them in turn, to that number. A file without a query has no row.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")).alias("i", "query"))
+    found = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")).alias("pos", "query"))
+    rows = with_row_ids(found, "i", ["file", "pos"]).select((F.col("i") - 1).alias("i"), "query")
     if count is None:
-        return rows.select(F.col("i").cast("long").alias("query_id"), "query")
+        return rows.select(F.col("i").alias("query_id"), "query")
     total = rows.count()
     if not total:
-        return rows.select(F.col("i").cast("long").alias("query_id"), "query")
-    slots = spark.range(count).select(F.col("id").alias("query_id"), (F.col("id") % total).cast("int").alias("i"))
-    return slots.join(F.broadcast(rows), "i").select("query_id", "query")
+        return rows.select(F.col("i").alias("query_id"), "query")
+    slots = spark.range(count).select(F.col("id").alias("query_id"), (F.col("id") % total).alias("i"))
+    return slots.join(rows, "i").select("query_id", "query")
 
 
 def write_queries(queries: DataFrame, path: str) -> None:
@@ -43,7 +50,12 @@ def write_queries(queries: DataFrame, path: str) -> None:
 def write_results(results: DataFrame, queries: DataFrame, path: str) -> None:
     """CSV ``query,rank,article_id,title,score`` with six decimals."""
     rows = results.join(queries.select("query_id", "query"), "query_id")
-    rows.select("query", "rank", "article_id", "title", F.format_string("%.6f", F.col("score")).alias("score")).write.mode("overwrite").option("header", True).csv(path)
+    rows.select("query", "rank", "article_id", "title", F.format_string("%.6f", F.col("score")).alias("score")).write.mode("overwrite").options(**CSV).csv(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_results` wrote, the numbers as numbers."""
+    return spark.read.schema("query string, rank int, article_id long, title string, score double").options(**CSV, multiLine=True).csv(path)
 
 
 def write_dataset(rows: DataFrame, path: str) -> None:
@@ -53,15 +65,20 @@ def write_dataset(rows: DataFrame, path: str) -> None:
 
 def write_dataset_array(rows: DataFrame, folder: str, cap: int) -> str:
     """The rows of one cap as one pretty JSON array, streamed through the driver row by row; its path."""
-    path = Path(folder) / f"qa_dataset_{cap}.json"
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with path.open("w", encoding="utf-8") as file:
+    return write_array(rows.where(F.col("cap") == cap).drop("cap").orderBy("id"), f"{folder}/qa_dataset_{cap}.json")
+
+
+def write_array(rows: DataFrame, path: str) -> str:
+    """The rows in their order as one pretty JSON array, streamed through the driver row by row; its path."""
+    at = Path(path)
+    at.parent.mkdir(parents=True, exist_ok=True)
+    with at.open("w", encoding="utf-8") as file:
         file.write("[")
-        for i, row in enumerate(rows.where(F.col("cap") == cap).drop("cap").orderBy("id").toJSON().toLocalIterator()):
+        for i, row in enumerate(rows.toJSON().toLocalIterator()):
             file.write(",\n" if i else "\n")
             file.write(json.dumps(json.loads(row), indent=2, ensure_ascii=False))
         file.write("\n]\n")
-    return str(path)
+    return str(at)
 
 
 def write_report(row: DataFrame, path: str, **more) -> dict:

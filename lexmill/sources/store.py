@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from lexmill.schemas import TABLES
 
 
+#: How the name of a table begins while it is being replaced.
+ASIDE = ".aside-"
+
+
 class Store:
     """Reads and replaces the corpus tables below ``root``."""
 
@@ -28,6 +32,8 @@ class Store:
 
     def exists(self, name: str) -> bool:
         fs, path = self._fs()
+        if not fs.exists(path(self.path(name))):
+            self._recover(name)
         return fs.exists(path(self.path(name)))
 
     def read(self, name: str) -> DataFrame:
@@ -37,7 +43,11 @@ class Store:
         return self.spark.read.parquet(self.path(name))
 
     def write(self, name: str, rows: DataFrame, sort: list[str] | None = None, partitions: int | None = None) -> None:
-        """Replace a table: written beside the old one, then moved in its place, so a failed job changes nothing."""
+        """Replace a table: written beside the old one, then moved in its place, so a failed job changes nothing.
+
+        The old table is moved aside before, and removed only when the new one is in its place; :meth:`read` puts it back if
+        the program ended between the two moves.
+        """
         if partitions:
             rows = rows.repartitionByRange(partitions, *sort) if sort else rows.repartition(partitions)
         if sort:
@@ -45,9 +55,26 @@ class Store:
         fresh = f"{self.root}/.{name}-{uuid.uuid4().hex}"
         rows.write.parquet(fresh)
         fs, path = self._fs()
-        if fs.exists(path(self.path(name))):
-            fs.delete(path(self.path(name)), True)
-        fs.rename(path(fresh), path(self.path(name)))
+        place, aside = path(self.path(name)), path(f"{self.root}/{ASIDE}{name}")
+        self._recover(name)
+        had = fs.exists(place)
+        if had and not fs.rename(place, aside):
+            raise OSError(f"cannot move {name} aside")
+        if not fs.rename(path(fresh), place):
+            if had:
+                fs.rename(aside, place)
+            raise OSError(f"cannot move the new {name} into its place")
+        fs.delete(aside, True)
+
+    def _recover(self, name: str) -> None:
+        """Put back a table that was moved aside and never replaced, and remove one that was replaced."""
+        fs, path = self._fs()
+        place, aside = path(self.path(name)), path(f"{self.root}/{ASIDE}{name}")
+        if fs.exists(aside):
+            if fs.exists(place):
+                fs.delete(aside, True)
+            elif not fs.rename(aside, place):
+                raise OSError(f"cannot put {name} back")
 
     def count(self, name: str) -> int:
         return self.read(name).count() if self.exists(name) else 0
@@ -61,20 +88,29 @@ class Store:
             fs.delete(path(self.path(name)), True)
         return had
 
+    def remove(self) -> None:
+        """Remove the store as a whole."""
+        fs, path = self._fs()
+        fs.delete(path(self.root), True)
+
     def statistics(self) -> DataFrame:
-        """``(table_name, n_rows, n_files)`` of the tables that exist."""
+        """``(table_name, n_rows, n_files, n_bytes)`` of the tables that exist."""
         spark, out = self.spark, []
         for name in TABLES:
             if self.exists(name):
                 rows = self.read(name)
-                out.append(rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.lit(len(rows.inputFiles())).alias("n_files")))
+                out.append(rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.lit(len(rows.inputFiles())).alias("n_files"), F.lit(self._bytes(name)).cast("long").alias("n_bytes")))
         if not out:
-            return spark.createDataFrame([], "table_name string, n_rows long, n_files int")
+            return spark.createDataFrame([], "table_name string, n_rows long, n_files int, n_bytes long")
         both = out[0]
         for x in out[1:]:
             both = both.unionByName(x)
         return both
 
+    def _bytes(self, name: str) -> int:
+        fs, path = self._fs()
+        return fs.getContentSummary(path(self.path(name))).getLength()
+
     def analyse(self, name: str, as_table: str) -> None:
         """Register a table in the catalogue and take its column statistics for the optimizer."""
         spark = self.spark
