@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text, tokenizers
-from lexmill.operators import corpus, evaluate, graph, index, links, qa, search, stats
+from lexmill.operators import corpus, evaluate, graph, index, links, qa, search, settings, stats
 from lexmill.operators.search import HybridParams
 from lexmill.operators.skew import skew_join
 from lexmill.session import materialise, table
@@ -72,16 +72,19 @@ def html_text_exact(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(text.plain_paragraphs(F.array("text")), "\n").alias("plain"))
 
 
-def _marked_up(spark, d) -> DataFrame:
-    """Paragraphs with the links written as a dump has them, one page for each link row."""
+def marked_up(spark, d) -> DataFrame:
+    """Pages with the links written as a dump has them, up to eight links a page and four a paragraph, by ``link_id``."""
     href = F.replace(F.url_encode("to_title"), F.lit("+"), F.lit("%20"))
-    link = F.concat(F.lit('See <a href="'), href, F.lit('">'), F.coalesce("anchor_text", F.lit("")), F.lit("</a> and more."))
-    return table(spark, d, "internal_link").select(F.col("link_id").alias("page_id"), F.array(F.lit("Before."), link, F.lit(None).cast("string")).alias("raw_paragraphs"))
+    link = F.concat(F.lit('<a href="'), href, F.lit('">'), F.coalesce("anchor_text", F.lit("")), F.lit("</a>"))
+    rows = table(spark, d, "internal_link").select("link_id", "to_title", "anchor_text").distinct().select(F.expr("link_id div 8").alias("page_id"), F.expr("(link_id div 4) % 2").alias("part"), "link_id", link.alias("link"))
+    in_order = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    parts = rows.groupBy("page_id", "part").agg(F.concat(F.lit("See "), F.array_join(in_order("link_id", "link"), "; "), F.lit(" and more.")).alias("paragraph"))
+    return parts.groupBy("page_id").agg(F.concat(F.array(F.lit("Before.")), in_order("part", "paragraph"), F.array(F.lit(None).cast("string"))).alias("raw_paragraphs"))
 
 
 @query
 def html_links(spark, d):
-    return text.extract_links(_marked_up(spark, d))
+    return text.extract_links(marked_up(spark, d))
 
 
 @query
@@ -166,8 +169,17 @@ def resolve_titles(spark, d):
 
 @query
 def rewrite_links(spark, d):
-    pages = _marked_up(spark, d).dropDuplicates(["page_id"])
-    return links.rewrite_links(pages, table(spark, d, "article")).select("page_id", F.array_join("paragraphs", "|").alias("paragraphs"))
+    return links.rewrite_links(marked_up(spark, d), table(spark, d, "article")).select("page_id", F.array_join("paragraphs", "|").alias("paragraphs"))
+
+
+@query
+def article_detail(spark, d):
+    """The page of the smallest number, as a reader sees it; its articles bear the catalogue's titles."""
+    named = table(spark, d, "title_catalog").select(F.col("catalog_id").alias("article_id"), "title")
+    first = marked_up(spark, d).orderBy("page_id").limit(1).withColumns({"article_id": F.lit(0).cast("long"), "title": F.lit("Here")})
+    pages = named.withColumns({"page_id": -F.col("article_id"), "raw_paragraphs": F.array().cast("array<string>")}).unionByName(first)
+    shown = links.article_detail(materialise(pages, "pages"), first.first()["page_id"], "raw_paragraphs")
+    return shown.select("page_id", "title", F.array_join("paragraphs", "|").alias("paragraphs"))
 
 
 @query
@@ -205,12 +217,19 @@ def dangling_nodes(spark, d):
 
 @query
 def pagerank_3_iters(spark, d):
-    return graph.pagerank(table(spark, d, "internal_link"), max_iter=3, tol=0.0, normalise=False).scores.withColumn("score", F.round("score", 9))
+    return graph.pagerank(table(spark, d, "internal_link"), max_iter=3, tol=0.0, normalise=False, one_task_edges=0).scores.withColumn("score", F.round("score", 9))
 
 
 @query
 def pagerank_converged(spark, d):
-    return graph.pagerank(table(spark, d, "internal_link")).scores
+    return graph.pagerank(table(spark, d, "internal_link")).scores.withColumn("score", F.round("score", 9))
+
+
+@query
+def pagerank_run(spark, d):
+    """How the same run ended."""
+    done = graph.pagerank(table(spark, d, "internal_link"))
+    return done.scores.agg(F.count(F.lit(1)).alias("n_nodes"), F.round(F.sum("score"), 9).alias("mass"), F.round(F.max("score"), 9).alias("top"), F.lit(done.iterations).alias("iterations"), F.lit(round(done.residual, 12)).alias("residual"))
 
 
 @query
@@ -275,6 +294,12 @@ def search_with_fallback(spark, d):
     return rows.withColumn("score", F.round("score", 6))
 
 
+@query
+def search_tokens(spark, d):
+    rows = search.query_tokens(catalog_queries(spark, d))
+    return rows.select("query_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 # --- evaluation ---
 
 
@@ -366,31 +391,35 @@ def _distractors(spark, d, variant: str) -> tuple[DataFrame, DataFrame, DataFram
     vocab, postings, ranks = _index(spark, d)
     postings, names = materialise(postings, "postings"), materialise(titles(spark, d), "titles")
     params = replace(QA, variant=variant)
-    chosen = qa.select_distractors(entries, support, status, sized, lambda q, p: search.search_hybrid(q, vocab, postings, ranks, names, p), params)
-    return entries, support, status, chosen
+    chosen = qa.choose_distractors(entries, support, status, sized, lambda q, p: search.search_hybrid(q, vocab, postings, ranks, names, p), params)
+    return entries, support, status, materialise(chosen, "qa-chosen")
 
 
 @query
 def qa_distractors_build(spark, d):
-    return _distractors(spark, d, "build")[3]
+    return qa.distractors_of(_distractors(spark, d, "build")[3])
 
 
 @query
 def qa_distractors_generate(spark, d):
-    return _distractors(spark, d, "generate")[3]
+    return qa.distractors_of(_distractors(spark, d, "generate")[3])
 
 
 @query
 def qa_dataset(spark, d):
     entries, support, status, chosen = _distractors(spark, d, "build")
-    chosen = materialise(chosen, "qa-chosen")
-    return qa.dataset(entries, support, chosen, qa.context_slices(status, chosen, CAPS), articles(spark, d))
+    chosen = qa.distractors_of(chosen)
+    rows = qa.dataset(entries, support, chosen, qa.context_slices(status, chosen, CAPS), articles(spark, d))
+    flat = [F.array_join(F.transform(f"{side}_docs", lambda x: x["title"]), "|").alias(f"{side}_titles") for side in ("supporting", "distractor")]
+    texts = [F.md5(F.array_join(F.transform(f"{side}_docs", lambda x: x["text"]), "|").cast("binary")).alias(f"{side}_md5") for side in ("supporting", "distractor")]
+    return rows.select("cap", "id", "question", "gold_answer", *flat, *texts, "context_size")
 
 
 @query
 def qa_report(spark, d):
     _, _, status, chosen = _distractors(spark, d, "build")
-    return qa.report(status, qa.context_slices(status, materialise(chosen, "qa-chosen"), CAPS))
+    row = qa.report(status, qa.context_slices(status, qa.distractors_of(chosen), CAPS), chosen)
+    return row.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in row.dtypes])
 
 
 # --- statistics ---
@@ -440,7 +469,53 @@ def event_window_counts(spark, d):
 
 @query
 def statement_classes(spark, d):
-    return stats.classify_statements(table(spark, d, "documents"), "text")
+    """Statements made up from the orders: one of six tables, read or written, in upper or lower case."""
+    names = F.array(*map(F.lit, ("Article", "InvertedIndex", "Vocabulary", "PageRank", "InternalLink", "article")))
+    verb = F.element_at(F.array(*map(F.lit, ("SELECT a FROM ", "select b from ", "INSERT INTO ", "Update "))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    text_ = F.concat(verb, F.element_at(names, (F.col("o_custkey") % 6 + 1).cast("int")))
+    return stats.classify_statements(table(spark, d, "orders").select(text_.alias("statement"), (F.col("o_orderkey") % 7).alias("seconds")), "statement", "seconds")
+
+
+@query
+def cache_hit_ratio(spark, d):
+    return stats.hit_ratio(table(spark, d, "lineitem"), "l_partkey", "l_suppkey", "l_returnflag")
+
+
+@query
+def blocked_requests(spark, d):
+    """Requests for locks made up from the events; one key in ten is null."""
+    key = F.when(F.col("user_id") % 10 != 0, F.col("user_id") % 10)
+    locks = table(spark, d, "events").select("event_type", key.alias("relation"), F.col("user_id").alias("pid"), (F.coalesce("value", F.lit(0.0)) < 50).alias("granted"))
+    return stats.blocked(locks, ["event_type", "relation"])
+
+
+def written_settings(spark, d) -> DataFrame:
+    """Settings made up from the line items: sizes and times in all units, names with and without a rule."""
+    pick = lambda items, key: F.element_at(F.array(*map(F.lit, items)), (F.col(key) % len(items) + 1).cast("int"))
+    number = (F.col("l_partkey") % 97 + 1).cast("string")
+    rows = table(spark, d, "lineitem").select(pick(("Buffer", "pause", "level", "modules", "other"), "l_orderkey").alias("name"), number.alias("x"), pick(("kB", "MB", " gb", "TB", ""), "l_suppkey").alias("size"), pick(("s", "min", "h", "d", ""), "l_suppkey").alias("time"))
+    other = F.element_at(F.array(*map(F.lit, ("low", "HIGH", "x,trace"))), (F.length("x") % 3 + 1).cast("int"))
+    value = F.when(F.col("name") == "Buffer", F.concat("x", "size")).when(F.col("name") == "pause", F.concat("x", "time")).otherwise(other)
+    return rows.select("name", value.alias("value")).distinct()
+
+
+@query
+def parsed_settings(spark, d):
+    rows = written_settings(spark, d).where("name in ('Buffer', 'pause')")
+    return rows.select("name", "value", F.when(F.col("name") == "Buffer", settings.size_mb(F.col("value"))).otherwise(settings.seconds(F.col("value"))).alias("amount"))
+
+
+RULES = [("buffer", "size", 16.0, 65536.0, None, None), ("pause", "time", 30.0, 7200.0, None, None), ("level", "option", None, None, "high", ["low", "high"]), ("modules", "contains", None, None, None, ["trace", "stat"])]
+
+
+@query
+def checked_settings(spark, d):
+    return settings.check_settings(written_settings(spark, d), spark.createDataFrame(RULES, settings.RULES))
+
+
+@query
+def sample_with_repeats(spark, d):
+    return stats.sample_to(table(spark, d, "title_catalog"), "catalog_id", 2500, seed=42).select("place", "catalog_id")
 
 
 @query

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import core, core_sql, problems, problems_sql
+from lexmill.plans import core, core_sql, problems, problems_sql, round_trips, round_trips_sql
 from lexmill.session import ship_package
 
 
@@ -22,8 +22,8 @@ def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _shipped(q) for name, q in {**core.QUERIES, **problems.QUERIES}.items()}
+    return {name: _shipped(q) for name, q in {**core.QUERIES, **round_trips.QUERIES, **problems.QUERIES}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**core_sql.ORACLES, **problems_sql.ORACLES}
+    return {**core_sql.ORACLES, **round_trips_sql.ORACLES, **problems_sql.ORACLES}
