@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The words that are no terms.
-STOP_WORDS = ("the", "a", "an", "and", "or", "is", "are", "of", "to", "in", "for", "on", "with", "as", "by", "at")
+from lexmill.functions.tokenizers import NAIVE_STOP
+
+#: The words that are no terms.
+STOP_WORDS = tuple(NAIVE_STOP)
 TERM = "[a-z0-9]+"
 
 

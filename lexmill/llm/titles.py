@@ -1,10 +1,16 @@
 """Mapping freely typed titles to a canonical list, by SQL alone.
 
-Titles are first brought to a plain form (encoding, case, accents, wrapping, order, abbreviations undone). A
-partition-based pigeonhole join then finds the entries within ``k`` edits, a swap of two neighbours being one: an entry's
-form is cut into ``k + 1`` segments with one letter between them, so that no edit touches two of them and one must occur
-unchanged in any value within ``k`` edits, at a position shifted by the edits before it. Equality joins on these positional
-substrings give the candidates, the built-in ``levenshtein`` verifies them, and an anti-join reports what is left.
+Titles are first brought to a plain form (encoding, case, accents, wrapping, order undone). Two partition-based pigeonhole
+joins then find the entries that are near:
+
+* within ``k`` edits, a swap of two neighbours being one: an entry's form is cut into ``k + 1`` segments with one letter
+  between them, so that no edit touches two of them and one must occur unchanged in any value within ``k`` edits, at a
+  position shifted by the edits before it. Equality joins on these positional substrings give the candidates, the built-in
+  ``levenshtein`` verifies them.
+* with one word abbreviated: the segments are the words; all but one must occur unchanged, so equality joins on what is
+  left without each word give the candidates, and the two words left out are compared.
+
+An anti-join reports what is left.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.operators.skew import heavy_counts, skew_join
+from lexmill.operators.skew import heavy_counts, salted, skew_join
 from lexmill.session import materialise
 
 #: Edits bridged by the pigeonhole join.
@@ -23,14 +29,16 @@ EDITS = 1
 #: The segments of the list are broadcast if it has at most so many entries, else joined by a shuffle.
 MAX_BROADCAST_ENTRIES = 100_000
 
-#: Abbreviations and the words they stand for.
-ABBREVIATIONS = {
-    "btl": "battle", "cath": "cathedral", "co": "county", "hosp": "hospital", "mus": "museum", "obs": "observatory",
-    "orch": "orchestra", "pen": "peninsula", "prov": "province", "rly": "railway", "saint": "st", "univ": "university",
-    "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven", "8": "eight", "9": "nine",
-}
-#: Words that do not tell entries apart once the words are put in order.
+#: Letters an entry's form must have for an edit to be bridged; a name as short as that is one edit from other names.
+EDIT_LETTERS = 8
+#: A word may stand for one at least so many times as long, if it begins with the same letter and keeps the order of letters.
+SHORTENED = 2
+#: English names of the digits.
+DIGITS = dict(zip("0123456789", "zero one two three four five six seven eight nine".split(), strict=True))
+#: English function words, which do not tell entries apart once the words are put in order (``s`` is left of a genitive).
 FILLERS = ("of", "the", "and", "s")
+#: Link prefixes that name no part of a title: the main name space, the encyclopedia itself, and two-letter language codes.
+PREFIX = "(?:article|w|[a-z]{2})?"
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("авеіјкмнорстухѕԁ", "abeijkmhopctyxsd", strict=True))
 #: Letters without a decomposition.
@@ -55,8 +63,8 @@ def plain(value: Column) -> Column:
     """Lower-case Latin words of a title, one space apart, with its wrapping removed; null gives null.
 
     Undone: percent encoding (with + for a space, only if a %xx or a + but no space occurs), character references,
-    underscores, look-alike letters, accents, a fragment after #, a name space before a colon, quotes and brackets, curly
-    or straight, a leading article, and ``&`` for ``and``.
+    underscores, look-alike letters, accents, a fragment (``#`` after a title and before a letter), a link prefix of
+    ``PREFIX`` before a colon, quotes and brackets, curly or straight, a leading article, and ``&`` for ``and``.
     """
     v = F.when(value.rlike("%[0-9A-Fa-f]{2}") | (value.contains("+") & ~value.contains(" ")), F.coalesce(F.try_url_decode(value), value)).otherwise(value)
     v = F.lower(v)
@@ -67,10 +75,10 @@ def plain(value: Column) -> Column:
     for char, two in STROKES.items():
         if len(two) > 1:
             v = F.replace(v, F.lit(char), F.lit(two))
-    v = F.regexp_replace(v, "#.*$", "")
-    v = F.regexp_replace(v, r"^[^a-z0-9]*[a-z]+\s*:", "")
+    v = F.regexp_replace(v, "([^#])#[a-z].*$", "$1")
+    v = F.regexp_replace(v, f"^[^a-z0-9]*{PREFIX}[ _]*:", "")
     v = F.regexp_replace(v, "[’‘`´]", "'")
-    v = F.regexp_replace(v, r"'s(?![a-z0-9])", " s")
+    v = F.regexp_replace(v, "'s([^a-z0-9]|$)", " s$1")
     v = F.replace(v, F.lit("&"), F.lit(" and "))
     v = F.trim(F.regexp_replace(v, "[^a-z0-9]+", " "))
     return F.regexp_replace(v, "^the ", "")
@@ -79,10 +87,10 @@ def plain(value: Column) -> Column:
 def forms(value: Column) -> Column:
     """The forms of a title in which it is compared: ``ARRAY<STRUCT<form INT, text STRING>>``.
 
-    Form 1: the words in their order, run together; form 2: without fillers, in alphabetical order. Abbreviations are
+    Form 1: the words in their order, run together; form 2: without fillers, in alphabetical order. Single digits are
     spelled out in both. Forms without a letter are left out.
     """
-    spelled = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
+    spelled = F.create_map(*[F.lit(x) for pair in DIGITS.items() for x in pair])
     words = F.transform(F.filter(F.split(plain(value), " "), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(spelled, w), w))
     ordered = F.array_sort(F.filter(words, lambda w: ~w.isin(*FILLERS)))
     both = F.array(F.struct(F.lit(1).alias("form"), F.array_join(words, "").alias("text")), F.struct(F.lit(2).alias("form"), F.array_join(ordered, " ").alias("text")))
@@ -97,10 +105,10 @@ def _cuts(length: str, part: str, k: int) -> tuple[str, str]:
     return start, size
 
 
-def _with_segments(listed: DataFrame, k: int) -> DataFrame:
-    """The entries, once for each of their segments: ``(catalog_id, form, entry, len, part, seg)``."""
+def _with_segments(listed: DataFrame, k: int, letters: int) -> DataFrame:
+    """The entries of at least ``letters``, once for each of their segments: ``(catalog_id, form, entry, len, part, seg)``."""
     start, size = _cuts("len", "part", k)
-    rows = listed.withColumn("len", F.length("entry")).where(F.col("len") >= 2 * k + 2).withColumn("part", F.explode(F.array(*map(F.lit, range(k + 1)))))
+    rows = listed.withColumn("len", F.length("entry")).where(F.col("len") >= max(letters, 2 * k + 2)).withColumn("part", F.explode(F.array(*map(F.lit, range(k + 1)))))
     return rows.withColumn("seg", F.expr(f"substring(entry, cast({start} as int) + 1, cast({size} as int))"))
 
 
@@ -132,29 +140,63 @@ def _is_swap(a: str, b: str) -> Column:
     )
 
 
-def match_values(values: DataFrame, catalog: DataFrame, k: int = EDITS, max_broadcast: int = MAX_BROADCAST_ENTRIES) -> DataFrame:
-    """The entry that each distinct value denotes: ``(value, catalog_id, distance)``.
+def _without_a_word(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The rows of form 2, once for each word: what is left without it (``rest``), and the word (``word``)."""
+    words = F.split(F.col(text), " ")
+    cut = rows.where((F.col("form") == 2) & F.contains(F.col(text), F.lit(" "))).select(*keep, words.alias("__w"), F.posexplode(words).alias("__i", "word"))
+    rest = F.array_join(F.filter("__w", lambda w, i: i != F.col("__i")), " ")
+    return cut.select(*keep, rest.alias("rest"), "word").distinct()
+
+
+def _shortening(short: str, whole: str) -> Column:
+    """1 if ``short`` is the beginning of ``whole``, 2 if its letters occur there in their order from the first on, else null.
+
+    At least two letters, and no more than one ``SHORTENED``-th of the whole.
+    """
+    fits = (F.length(short) >= 2) & (F.length(short) * SHORTENED <= F.length(whole)) & (F.left(short, F.lit(1)) == F.left(whole, F.lit(1)))
+    ordered = F.expr(f"regexp_like({whole}, concat('^', array_join(split({short}, ''), '.*')))")
+    return F.when(fits & F.startswith(whole, F.col(short)), F.lit(1)).when(fits & ordered, F.lit(2))
+
+
+def _meet(typed: DataFrame, listed: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Equality join of values and entries; a small list is broadcast, else keys that very many values share are salted."""
+    if small:
+        return typed.join(F.broadcast(listed), keys)
+    both = [df.withColumn("__key", F.xxhash64(*keys)) for df in (typed, listed)]
+    a, b = salted(*both, "__key", heavy_counts(both[0], "__key")[1]["__key"])
+    return a.join(b, [*keys, "__key", "__salt"]).drop("__key", "__salt")
+
+
+def match_values(values: DataFrame, catalog: DataFrame, k: int = EDITS, max_broadcast: int = MAX_BROADCAST_ENTRIES, letters: int = EDIT_LETTERS) -> DataFrame:
+    """The entry that each distinct value denotes: ``(value, catalog_id, distance, kind)``.
 
     ``values(value)`` without repeats or nulls, ``catalog(catalog_id, title)``. A value equal to a title denotes it at
-    distance 0. Otherwise the closest entry counts, in either form: one edit or one swap of neighbours is distance 1 (0: only
-    the writing differs). Values whose closest entries are several, or that have none, have no row here. Forms shorter
-    than ``2 k + 2`` letters are only compared for equality, as anything that short is close to anything.
+    distance 0 (``kind`` equal), and so does one that has a form in common with it (written). Otherwise the closest entry
+    counts: one edit or one swap of neighbours in either form is distance 1 (typo), and so is one word of form 2 cut short in
+    the value or in the entry, or distance 2 if letters within it are missing too (abbreviated). Values whose closest entries
+    are several, or that have none, have no row here. Entries whose form has fewer than ``letters`` letters, or ``2 k + 2``,
+    bridge no edit, as anything that short is close to anything.
     """
     entries = catalog.where("catalog_id is not null and title is not null").select("catalog_id", "title").dropDuplicates(["title"])
     small = entries.limit(max_broadcast + 1).count() <= max_broadcast
     hint = F.broadcast if small else (lambda df: df)
-    equal = values.join(hint(entries), values.value == entries.title).select("value", "catalog_id", F.lit(0).alias("distance"))
+
+    def at(rows: DataFrame, distance: Column, kind: str) -> DataFrame:
+        return rows.select("value", "catalog_id", distance.alias("distance"), F.lit(kind).alias("kind")).where("distance is not null")
+
+    equal = at(values.join(hint(entries), values.value == entries.title), F.lit(0), "equal")
     other = values.join(hint(entries.select(F.col("title").alias("value"))), "value", "left_anti")
     listed = materialise(entries.select("catalog_id", F.explode(forms(F.col("title"))).alias("f")).select("catalog_id", "f.form", F.col("f.text").alias("entry")), "p4-entries")
-    # written out: the forms are dear, and are read twice
+    # written out: the forms are dear, and are read three times
     typed = materialise(other.select("value", F.explode(forms(F.col("value"))).alias("f")).select("value", "f.form", F.col("f.text").alias("text")), "p4-forms")
-    same = typed.join(hint(listed.withColumnRenamed("entry", "text")), ["form", "text"]).select("value", "catalog_id", F.lit(0).alias("distance"))
-    pairs = _with_probes(typed, k).join(hint(_with_segments(listed, k)), ["form", "len", "part", "seg"]).withColumn("d", F.levenshtein("text", "entry", k + 1)).where("d > 0")
-    distance = F.when(F.col("d") <= k, F.col("d")).when((F.col("d") == 2) & _is_swap("text", "entry"), F.lit(1))
-    near = pairs.select("value", "catalog_id", distance.alias("distance")).where("distance is not null")
-    found = reduce(DataFrame.unionByName, [equal, same, near]).groupBy("value", "distance").agg(F.min("catalog_id").alias("catalog_id"), F.max("catalog_id").alias("last"))
-    best = found.groupBy("value").agg(F.min("distance").alias("distance"), F.min_by("catalog_id", "distance").alias("catalog_id"), F.min_by("last", "distance").alias("last"))
-    return materialise(best.where("catalog_id = last").select("value", "catalog_id", "distance"), "p4-matches")
+    same = at(_meet(typed, listed.withColumnRenamed("entry", "text"), ["form", "text"], small), F.lit(0), "written")
+    near = _meet(_with_probes(typed, k), _with_segments(listed, k, letters), ["form", "len", "part", "seg"], small).withColumn("d", F.levenshtein("text", "entry", k + 1)).where("d > 0")
+    near = at(near, F.when(F.col("d") <= k, F.col("d")).when((F.col("d") == 2) & _is_swap("text", "entry"), F.lit(1)), "typo")
+    cut = _meet(_without_a_word(typed, "text", "value").withColumnRenamed("word", "a"), _without_a_word(listed, "entry", "catalog_id").withColumnRenamed("word", "b"), ["rest"], small).where("a <> b")
+    cut = at(cut, F.coalesce(_shortening("a", "b"), _shortening("b", "a")), "abbreviated")
+    found = reduce(DataFrame.unionByName, [equal, same, near, cut]).groupBy("value", "distance").agg(F.min("catalog_id").alias("catalog_id"), F.max("catalog_id").alias("last"), F.min("kind").alias("kind"))
+    best = found.groupBy("value").agg(*[F.min_by(c, "distance").alias(c) for c in ("catalog_id", "last", "kind")], F.min("distance").alias("distance"))
+    return materialise(best.where("catalog_id = last").select("value", "catalog_id", "distance", "kind"), "p4-matches")
 
 
 def typed_titles(links: DataFrame, articles: DataFrame) -> DataFrame:
@@ -171,17 +213,14 @@ def _heavy_titles(links: DataFrame) -> dict:
 def map_titles(links: DataFrame, articles: DataFrame, catalog: DataFrame, k: int = EDITS) -> DataFrame:
     """Every typed title with its entry: ``(src_table, row_id, value, catalog_id, distance, state)``.
 
-    ``state``: ``equal`` (letter for letter), ``written`` (other writing of the name), ``typo``, or ``unmatched`` (null
-    entry). Each distinct value is matched once; the matches go back to the rows by a join that keeps values shared by
+    ``state``: ``equal`` (letter for letter), ``written`` (other writing of the name), ``typo``, ``abbreviated``, or
+    ``unmatched`` (null entry). Each distinct value is matched once; the matches go back to the rows by a join that keeps values shared by
     very many rows off the shuffle.
     """
     rows = typed_titles(links, articles)
     matched = match_values(rows.select("value").distinct(), catalog, k)
-    state = F.when(F.col("catalog_id").isNull(), "unmatched").when(F.col("is_equal"), "equal").when(F.col("distance") == 0, "written").otherwise("typo")
-    titles = catalog.where("title is not null").select(F.col("title").alias("value"), F.lit(True).alias("is_equal")).distinct()
-    matched = matched.join(titles, "value", "left")
     back = skew_join(rows, matched, "value", "left", heavy=_heavy_titles(links))
-    return back.select("src_table", "row_id", "value", "catalog_id", "distance", state.alias("state"))
+    return back.select("src_table", "row_id", "value", "catalog_id", "distance", F.coalesce("kind", F.lit("unmatched")).alias("state"))
 
 
 def unmatched_titles(links: DataFrame, articles: DataFrame, catalog: DataFrame, k: int = EDITS) -> DataFrame:
@@ -195,5 +234,5 @@ def found_titles(links: DataFrame, articles: DataFrame, catalog: DataFrame, k: i
     """The rows whose value denotes an entry without being equal to its title: ``(src_table, row_id, catalog_id)``."""
     rows = typed_titles(links, articles)
     matched = match_values(rows.select("value").distinct(), catalog, k)
-    different = matched.join(catalog.select(F.col("title").alias("value")), "value", "left_anti")
+    different = matched.where("kind <> 'equal'").drop("kind")
     return skew_join(rows, different, "value", "inner", heavy=_heavy_titles(links)).select("src_table", "row_id", "catalog_id")

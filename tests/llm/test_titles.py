@@ -20,10 +20,10 @@ def one_edit(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def match(spark, values, catalog=CATALOG):
+def match(spark, values, catalog=CATALOG, **options):
     c = spark.createDataFrame([(i, t, "x") for i, t in enumerate(catalog)], "catalog_id long, title string, value string")
     v = spark.createDataFrame([(x,) for x in values], "value string")
-    return {r["value"]: (catalog[r["catalog_id"]], r["distance"]) for r in titles.match_values(v, c).collect()}
+    return {r["value"]: (catalog[r["catalog_id"]], r["distance"]) for r in titles.match_values(v, c, **options).collect()}
 
 
 WRITTEN = [
@@ -45,6 +45,20 @@ def test_other_names(spark):
     assert match(spark, others) == {}
 
 
+def test_names_that_only_look_alike(spark):
+    catalog = ["Kingdom of Nesund", "Nesund", "Torvale", "C", "Battle of Jorast", "Wexfalo Museum", "Wexfalo Manuscript"]
+    others = ["Alien: Kingdom of Nesund", "Review: Kingdom of Nesund", "C#", "Kingdom of Nesund#2", "Torvall", "Nesond", "Battle of Jo Rast II", "Bottle of Jorast House", "Wexfalo M", "Wexfalo Musing"]
+    assert match(spark, others, catalog) == {}
+    assert match(spark, ["fr:Nesund", ":C", "Nesund#History", "Btl. of Jorast", "Wexfalo Mus.", "Wexfalo Mnscrpt"], catalog) == {
+        "fr:Nesund": ("Nesund", 0), ":C": ("C", 0), "Nesund#History": ("Nesund", 0), "Btl. of Jorast": ("Battle of Jorast", 2), "Wexfalo Mus.": ("Wexfalo Museum", 1),
+    }
+
+
+def test_large_catalogues_take_the_shuffle(spark):
+    values = sorted({typed for typed, _ in WRITTEN})
+    assert match(spark, values, max_broadcast=1) == match(spark, values)
+
+
 def test_against_brute_force(spark):
     rng = random.Random(5)
     letters = "abcde"
