@@ -216,6 +216,22 @@ def encode(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", tok
     return _prepared(documents, doc_id, text).mapInArrow(_run(_shared(documents, tokenizer), False), "doc_id long, ids array<int>")
 
 
+def _decoded(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = {i: t for t, i in read_ranks(shared.value).items()}
+        for batch in batches:
+            texts = [b"".join(map(tokens.__getitem__, ids)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return run
+
+
+def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The texts of ``(doc_id, ids)``: ``(doc_id, text)``; an empty or null list gives an empty text."""
+    rows = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return rows.mapInArrow(_decoded(_shared(encoded, tokenizer)), "doc_id long, text string")
+
+
 def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """The number of tokens of every text: ``(doc_id, n_tokens LONG)``; 0 for null and empty texts."""
     return _prepared(documents, doc_id, text).mapInArrow(_run(_shared(documents, tokenizer), True), "doc_id long, n_tokens long")

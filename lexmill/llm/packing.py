@@ -22,8 +22,6 @@ from lexmill.session import materialise
 CAPACITY = 2048
 #: Items packed together, about.
 GROUP_ITEMS = 2000
-#: Containers a group can name; ids are group * CONTAINERS + number.
-CONTAINERS = 1 << 20
 
 
 def difference(sizes: list[int], m: int) -> list[list[int]]:
@@ -79,16 +77,12 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
     return where
 
 
-def _pack_group(capacity: int):
+def _pack_group(capacity: int, groups: int):
     def run(items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["doc_id", "piece", "n_tokens"], ignore_index=True)
-        rest = items["piece_tokens"] < capacity  # pieces of full capacity fill a container each
-        where = pack(items.loc[rest, "piece_tokens"].tolist(), capacity)
-        used = max(where, default=-1) + 1
-        items.loc[rest, "number"] = where
-        items.loc[~rest, "number"] = range(used, used + int((~rest).sum()))
-        items["container_id"] = items["bin"] * CONTAINERS + items["number"].astype("int64")
-        return items[["doc_id", "piece", "token_start", "piece_tokens", "container_id"]].rename(columns={"piece_tokens": "n_tokens"})
+        items = items.sort_values(["doc_id", "n_tokens", "row"], ignore_index=True)
+        numbers = pack(items["n_tokens"].tolist(), capacity)
+        items["container_id"] = pd.Series(numbers, dtype="int64") * groups + items["bin"]
+        return items[["doc_id", "piece", "token_start", "n_tokens", "container_id"]]
 
     return run
 
@@ -97,20 +91,24 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, group_items: int = GR
     """Containers for items of given sizes: ``(doc_id, piece, token_start, n_tokens, container_id)``.
 
     ``items(doc_id, n_tokens)``, one container at least for each group. An item above the capacity becomes pieces of full
-    capacity, with containers of their own, and a rest packed like any item; all others stay whole (piece 0). Items of
-    size 0 or null share a container as rows of 0 tokens. Repeated rows are items of their own. An empty table gives no
-    row. No container holds more than ``capacity``.
+    capacity, each a container of its own with an id below zero, given out in the tasks without a group, and a rest packed
+    like any item; all others stay whole (piece 0). Items of size 0 or null share a container as rows of 0 tokens. Repeated
+    rows are items of their own and are spread over the groups. An empty table gives no row. No container holds more than
+    ``capacity``. The ids of the containers of a group are its number plus multiples of the number of groups, so none is
+    ever given twice.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    size = F.coalesce(F.col("n_tokens"), F.lit(0))
-    items = materialise(items.select("doc_id", size.cast("long").alias("n_tokens")), "p8-sizes")
+    size = F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long")
+    items = materialise(items.select("doc_id", size.alias("n_tokens")).withColumn("row", F.monotonically_increasing_id()), "p8-sizes")
     groups = max(1, math.ceil(items.count() / group_items))
-    last = F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / capacity) - 1).cast("int")
-    pieces = items.withColumn("bin", F.pmod(F.xxhash64("doc_id", F.lit("p8")), F.lit(groups))).withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
-    start = (F.col("piece") * F.lit(capacity)).cast("long")
-    pieces = pieces.select("bin", "doc_id", "n_tokens", "piece", start.alias("token_start"), F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - start).alias("piece_tokens"))
-    return pieces.groupBy("bin").applyInPandas(_pack_group(capacity), "doc_id long, piece int, token_start long, n_tokens long, container_id long")
+    last = F.greatest(F.lit(0).cast("long"), F.expr(f"(n_tokens - 1) div {capacity}"))
+    full = items.where(F.col("n_tokens") > capacity).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)).alias("piece"))
+    full = full.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("token_start"), F.lit(capacity).cast("long").alias("n_tokens"), (-1 - F.monotonically_increasing_id()).alias("container_id"))
+    start = last * capacity
+    rests = items.select("doc_id", last.cast("int").alias("piece"), start.alias("token_start"), (F.col("n_tokens") - start).alias("n_tokens"), "row", F.pmod(F.xxhash64("doc_id", "row"), F.lit(groups)).alias("bin"))
+    packed = rests.groupBy("bin").applyInPandas(_pack_group(capacity, groups), "doc_id long, piece int, token_start long, n_tokens long, container_id long")
+    return packed.unionByName(materialise(full, "p8-full"))
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, group_items: int = GROUP_ITEMS) -> DataFrame:
@@ -118,6 +116,25 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     return pack_items(token_counts(documents, tokenizer=tokenizer), capacity, group_items)
 
 
+def audit(assigned: DataFrame, sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: ``(n_items, n_overfull, n_misplaced, n_split, well_filled)``.
+
+    Containers above the capacity, items of ``sizes(doc_id, n_tokens)`` (ids unique) whose pieces do not add up to them, and
+    items in more pieces than their size asks for; ``well_filled`` if the containers are at most 1.1 times as many as the
+    tokens would fill, and one.
+    """
+    boxes = containers(assigned, capacity).agg(F.count_if(F.col("used") > capacity).alias("n_overfull"), F.count(F.lit(1)).alias("__boxes"), F.coalesce(F.sum("used"), F.lit(0)).alias("__used"))
+    placed = assigned.groupBy("doc_id").agg(F.sum("n_tokens").alias("__sum"), F.count(F.lit(1)).alias("__pieces"))
+    n = F.coalesce("n_tokens", F.lit(0))
+    items = sizes.join(placed, "doc_id", "left").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.count_if(F.coalesce(F.col("__sum") != n, F.lit(True))).alias("n_misplaced"),
+        F.count_if(F.col("__pieces") > F.greatest(F.lit(1), F.ceil(n / capacity))).alias("n_split"),
+    )
+    filled = F.col("__boxes") <= 1.1 * F.ceil(F.col("__used") / capacity) + 1
+    return items.join(F.broadcast(boxes), F.lit(True)).select("n_items", "n_overfull", "n_misplaced", "n_split", filled.alias("well_filled"))
+
+
 def containers(assigned: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row for each container: ``(container_id, n_pieces, used, free)``."""
     used = F.sum("n_tokens")

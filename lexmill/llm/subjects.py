@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import html
 import math
+import re
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.session import materialise, ship_package
+from lexmill.session import discard, materialise, ship_package
 
 #: Singular vectors kept.
 RANK = 128
@@ -32,10 +34,9 @@ RANK = 128
 POWER_PASSES, REFINE_PASSES, OUTSIDE_PASSES = 4, 2, 2
 #: A document is outside if so much of its squared length is.
 OUTSIDE = 0.7
-#: A term is used if it is in at least 1 of so many documents. As a document has T distinct terms on average, at most
-#: TERM_PER * T terms are used, whatever the number of documents.
-TERM_PER = 2000
-MIN_DF = 3
+#: Terms in fewer documents have no slot of their own in the embedding, nor have those beyond the ``TERMS`` of highest df; they
+#: share ``SHARED`` slots by a hash, so that no word is dropped and the matrices are bounded, whatever the number of documents.
+MIN_DF, TERMS, SHARED = 3, 100_000, 256
 #: Cosines from which a document counts for a centroid, and a sentence for an area.
 DOCUMENT_COSINE, SENTENCE_COSINE = 0.5, 0.42
 #: Length, against its whole length, that a sentence must have within the span of the centroids; neutral ones have less.
@@ -67,6 +68,11 @@ class Sentences:
         self.ended = regex.compile(r"[.!?][\"”»’)\]]*$").search
         self.marks = regex.compile(r"\p{M}").sub
         self.words = regex.compile(r"\p{L}{2,}").findall
+        # the same for plain ASCII, where they are cheaper
+        self.plain_unseen = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]").sub
+        self.plain_words = re.compile(r"[a-z]{2,}").findall
+        self.plain_parts = re.compile(r"\r?\n\s*\n|(?<!\bSt\.)(?<=[.!?])[\"')\]]*(?:\s+|(?=[A-Z]))".replace("'", "")).split
+        self.plain_ended = re.compile(r"[.!?][\")\]]*$").search
 
     def _mend(self, match) -> str:
         for coding in ("cp1252", "latin-1"):
@@ -78,7 +84,10 @@ class Sentences:
 
     def terms(self, sentence: str) -> list[str]:
         """Lower-case words of two letters or more, without accents and a final s."""
-        found = self.words(self.marks("", unicodedata.normalize("NFKD", sentence.lower())))
+        if sentence.isascii():
+            found = self.plain_words(sentence.lower())
+        else:
+            found = self.words(self.marks("", unicodedata.normalize("NFKD", sentence.lower())))
         return [w[:-1] if len(w) > 3 and w[-1] == "s" else w for w in found]
 
     def __call__(self, text: str) -> list[list[str]]:
@@ -87,13 +96,18 @@ class Sentences:
             text = html.unescape(text)
         if "<" in text:
             text = self.tags(" ", text)
-        if self.broken.search(text):
+        if not text.isascii() and self.broken.search(text):
             text = self.broken.sub(self._mend, text)
-        text = self.wrapped("", self.unseen("", unicodedata.normalize("NFKC", text)))
+        if text.isascii():
+            text, parts, ended = self.plain_unseen("", text), self.plain_parts, self.plain_ended
+        else:
+            text, parts, ended = self.unseen("", unicodedata.normalize("NFKC", text)), self.parts, self.ended
+        if "-\n" in text or "-\r\n" in text:
+            text = self.wrapped("", text)
         out = []
-        for part in self.parts(text):
+        for part in parts(text):
             part = part.strip() if part else ""
-            if part and self.ended(part):
+            if part and ended(part):
                 terms = self.terms(part)
                 if len(terms) > 1:
                     out.append(terms)
@@ -112,15 +126,47 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+_INDEXED = "doc_id long, lang string, terms array<int>, lens array<int>, used array<int>, weights array<float>"
+
+
 def _index(shared):
+    """Puts slots for words, and adds the distinct slots of each document with their weights."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        known = pa.array(shared.value, pa.string())
-        for batch in batches:
-            words = batch.column(2)
-            slots = pc.fill_null(pc.index_in(words.values, value_set=known), -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(words.offsets, slots), batch.column(3)], names=["doc_id", "lang", "terms", "lens"])
+        terms, idf = shared.value
+        known = pa.array(terms, pa.string())
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                words = batch.column(2)
+                offsets = words.offsets.to_numpy()
+                flat = words.values.slice(offsets[0], offsets[-1] - offsets[0])
+                slots = pc.index_in(flat, value_set=known)
+                rare = np.flatnonzero(pc.is_null(slots).to_numpy(zero_copy_only=False))
+                slots = pc.fill_null(slots, 0).to_numpy(zero_copy_only=False).astype(np.int32)
+                slots[rare] = [len(terms) + zlib.crc32(w.encode()) % SHARED for w in flat.take(pa.array(rare)).to_pylist()]
+                n, sizes = batch.num_rows, np.diff(offsets)
+                at, used, weight = _weighted(slots, np.repeat(np.arange(n), sizes), n, idf)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(slots)), batch.column(3)]
+                    + [pa.ListArray.from_arrays(ends, pa.array(used.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(weight.astype(np.float32)))],
+                    names=["doc_id", "lang", "terms", "lens", "used", "weights"],
+                )
+
+    return run
+
+
+def _embed(shared):
+    """Puts the unit vector of each document for its slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis = shared.value["basis"]
+        for batch, flat, row, weight in _chunks(batches):
+            vectors = _unit(_embedded(flat, row, weight, batch.num_rows, basis)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "lang", "area")], pa.array([v.tobytes() for v in vectors], pa.binary())], names=["doc_id", "lang", "area", "vector"])
 
     return run
 
@@ -128,13 +174,20 @@ def _index(shared):
 # --- matrices ---
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Pieces of the batches with the term numbers of their documents and the document of each."""
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of the batches with the distinct slots of their documents, the document of each, and its weight."""
     for whole in batches:
         for start in range(0, whole.num_rows, rows):
             batch = whole.slice(start, rows)
-            flat, sizes = _flat(batch.column(batch.schema.get_field_index("terms")))
-            yield batch, flat, np.repeat(np.arange(batch.num_rows), sizes)
+            flat, sizes = _flat(batch.column("used"))
+            yield batch, flat, np.repeat(np.arange(batch.num_rows), sizes), _flat(batch.column("weights"))[0]
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The batches with the unit vectors of their documents as rows."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch, np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float32).reshape(batch.num_rows, -1)
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,10 +214,10 @@ def _weighted(flat: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray) -> tup
     return at, term, weight / np.maximum(length[at], 1e-9)
 
 
-def _embedded(flat: np.ndarray, row: np.ndarray, n: int, model: dict) -> np.ndarray:
+def _embedded(flat: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
     """The documents in the space of the basis, not yet of length 1."""
-    x, used = _dense(*_weighted(flat, row, n, model["idf"]), n)
-    return x @ model["basis"][used]
+    x, used = _dense(row, flat, weight, n)
+    return x @ basis[used]
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -175,7 +228,7 @@ _BLOCK = "block int, salt int, data binary"
 
 
 def _summed(documents: DataFrame, add: Callable, shape: tuple[int, int], spread: int, shared) -> np.ndarray:
-    """The sum over all documents of the matrices that ``add(total, batch, flat, row, model)`` adds up in each task.
+    """The sum over all documents of the matrices that ``add(total, batches, model)`` adds up in each task.
 
     Each task hands on its sum in blocks of about 1 MB; blocks are summed in two levels, first in ``spread`` parts, so that
     no task gets more than about the square root of the number of tasks of them.
@@ -186,9 +239,7 @@ def _summed(documents: DataFrame, add: Callable, shape: tuple[int, int], spread:
         from pyspark import TaskContext
 
         total = np.zeros(shape, np.float32)
-        model = shared.value
-        for batch, flat, row in _chunks(batches):
-            add(total, batch, flat, row, model)
+        add(total, batches, shared.value)
         starts = range(0, shape[0], height)
         salt = TaskContext.get().partitionId() % spread
         yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array([salt] * len(starts), pa.int32()), pa.array([total[s : s + height].tobytes() for s in starts], pa.binary())], names=["block", "salt", "data"])
@@ -201,35 +252,37 @@ def _summed(documents: DataFrame, add: Callable, shape: tuple[int, int], spread:
     for keys in (["block", "salt"], ["block"]):
         parts = parts.groupBy(*keys).applyInPandas(merge, _BLOCK)
     blocks = {r["block"]: np.frombuffer(bytes(r["data"]), np.float32) for r in parts.collect()}
+    shared.destroy()
     out = np.zeros(shape, np.float32)
     for b, data in blocks.items():
         out[b * height : (b + 1) * height] = data.reshape(-1, shape[1])
     return out
 
 
-def _add_power(total, batch, flat, row, model):
-    x, used = _dense(*_weighted(flat, row, batch.num_rows, model["idf"]), batch.num_rows)
-    total[used] += x.T @ (x @ model["basis"][used])
+def _add_power(total, batches, model):
+    for batch, flat, row, weight in _chunks(batches):
+        x, used = _dense(row, flat, weight, batch.num_rows)
+        total[used] += x.T @ (x @ model["basis"][used])
 
 
-def _add_seeds(total, batch, flat, row, model):
-    seed = batch.column(batch.schema.get_field_index("seed")).to_numpy(zero_copy_only=False)
-    np.add.at(total, seed.astype(int), _unit(_embedded(flat, row, batch.num_rows, model)))
+def _add_seeds(total, batches, model):
+    for batch, e in _vectors(batches):
+        np.add.at(total, batch.column("seed").to_numpy(zero_copy_only=False).astype(int), e)
 
 
-def _add_nearest(total, batch, flat, row, model):
-    e = _unit(_embedded(flat, row, batch.num_rows, model))
-    cosine = e @ model["centroids"].T
-    best = cosine.argmax(1)
-    near = cosine[np.arange(len(best)), best] > DOCUMENT_COSINE
-    np.add.at(total, best[near], e[near])
+def _add_nearest(total, batches, model):
+    for _, e in _vectors(batches):
+        cosine = e @ model["centroids"].T
+        best = cosine.argmax(1)
+        near = cosine[np.arange(len(best)), best] > DOCUMENT_COSINE
+        np.add.at(total, best[near], e[near])
 
 
-def _add_outside(total, batch, flat, row, model):
-    e = _unit(_embedded(flat, row, batch.num_rows, model))
-    away = 1 - ((e @ model["axes"]) ** 2).sum(1)
-    at = np.flatnonzero((away > OUTSIDE) & (np.abs(e).sum(1) > 0))
-    np.add.at(total, model["language"][(e[at] @ model["centroids"].T).argmax(1)], e[at])
+def _add_outside(total, batches, model):
+    for _, e in _vectors(batches):
+        away = 1 - ((e @ model["axes"]) ** 2).sum(1)
+        at = np.flatnonzero((away > OUTSIDE) & (np.abs(e).sum(1) > 0))
+        np.add.at(total, model["language"][(e[at] @ model["centroids"].T).argmax(1)], e[at])
 
 
 def _axes(vectors: np.ndarray) -> np.ndarray:
@@ -245,30 +298,34 @@ def _assign(shared):
         model = shared.value
         vectors, axes, areas, names = model["basis"] * model["idf"][:, None], model["axes"], model["areas"], model["names"]
         n_terms, n_areas = len(vectors), len(names)
-        for batch, flat, row in _chunks(batches, 64):
-            lens, n_sentences = _flat(batch.column(3))
-            sentence = np.repeat(np.arange(len(lens)), lens)
-            of = np.repeat(np.arange(batch.num_rows), n_sentences)  # the document of each sentence
-            known = flat >= 0
-            where, term = np.divmod(np.unique(sentence[known] * n_terms + flat[known]), n_terms)
-            about = np.full(len(lens), -1)
-            for start in range(0, len(lens), 1000):  # sentences x terms in steps, so that very long texts stay small
-                a, b = np.searchsorted(where, [start, start + 1000])
-                x, used = _dense(where[a:b] - start, term[a:b], 1.0, min(1000, len(lens) - start))
-                e = x @ vectors[used]
-                inside = e @ axes
-                cosine = _unit(inside) @ model["centred"].T
-                best = cosine.argmax(1)
-                clear = (np.linalg.norm(inside, axis=1) >= SENTENCE_LENGTH * np.linalg.norm(e, axis=1)) & (cosine[np.arange(len(best)), best] >= SENTENCE_COSINE)
-                about[start : start + 1000] = np.where(clear, areas[best], -1)
-            told = about >= 0
-            counts = np.bincount(of[told] * n_areas + about[told], minlength=batch.num_rows * n_areas).reshape(-1, n_areas)
-            doc, area = np.nonzero((counts >= model["share"] * n_sentences[:, None]) & (counts > 0))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[doc], pa.int64()), pa.array([names[k] for k in area], pa.string()), pa.array(counts[doc, area] / n_sentences[doc]), pa.array(n_sentences[doc], pa.int32())],
-                names=["doc_id", "subject", "share", "n_sentences"],
-            )
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                flat = _flat(batch.column("terms"))[0]
+                lens, n_sentences = _flat(batch.column("lens"))
+                sentence = np.repeat(np.arange(len(lens)), lens)
+                of = np.repeat(np.arange(batch.num_rows), n_sentences)  # the document of each sentence
+                where, term = np.divmod(np.unique(sentence * n_terms + flat), n_terms)
+                about = np.full(len(lens), -1)
+                for start in range(0, len(lens), 4000):  # in steps, so that very long texts stay small
+                    a, b = np.searchsorted(where, [start, start + 4000])
+                    if a == b:
+                        continue
+                    begins = np.flatnonzero(np.diff(where[a:b], prepend=-1))
+                    e = np.add.reduceat(vectors[term[a:b]], begins)  # every sentence has terms
+                    inside = e @ axes
+                    cosine = _unit(inside) @ model["centred"].T
+                    best = cosine.argmax(1)
+                    clear = (np.linalg.norm(inside, axis=1) >= SENTENCE_LENGTH * np.linalg.norm(e, axis=1)) & (cosine[np.arange(len(best)), best] >= SENTENCE_COSINE)
+                    about[where[a:b][begins]] = np.where(clear, areas[best], -1)
+                told = about >= 0
+                counts = np.bincount(of[told] * n_areas + about[told], minlength=batch.num_rows * n_areas).reshape(-1, n_areas)
+                doc, area = np.nonzero((counts >= model["share"] * n_sentences[:, None]) & (counts > 0))
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[doc], pa.int64()), pa.array([names[k] for k in area], pa.string()), pa.array(counts[doc, area] / n_sentences[doc]), pa.array(n_sentences[doc], pa.int32())],
+                    names=["doc_id", "subject", "share", "n_sentences"],
+                )
 
     return run
 
@@ -297,40 +354,50 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, ran
     names = sorted({r["subject"] for r in areas.where("subject is not null").select("subject").distinct().collect()})
     if not n or not names:
         return none
-    df = cut.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
-    used = sorted(df.where(F.col("count") >= max(MIN_DF, n / TERM_PER)).collect(), key=lambda r: r["term"])
-    if not used:
-        return none
-    terms, idf = [r["term"] for r in used], np.array([math.log(n / r["count"]) if r["count"] < n else 1e-3 for r in used], np.float32)
+    df = materialise(cut.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count(), "p9-df")
+    own = df.where(F.col("count") >= MIN_DF).orderBy(F.desc("count"), "term").limit(TERMS)
+    used = sorted(own.collect(), key=lambda r: r["term"])
+    terms = [r["term"] for r in used]
+    pooled = df.join(F.broadcast(spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string())}), "term string")), "term", "left_anti")
+    pooled = {r["slot"]: r["n"] for r in pooled.groupBy(F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(SHARED)).alias("slot")).agg(F.sum("count").alias("n")).collect()}
+    counts = [r["count"] for r in used] + [pooled.get(i, n) for i in range(SHARED)]
+    idf = np.array([math.log(n / c) if c < n else 1e-3 for c in counts], np.float32)
     share_out = spark.sparkContext.broadcast
-    indexed = cut.mapInArrow(_index(share_out(terms)), "doc_id long, lang string, terms array<int>, lens array<int>")
+    vocabulary = share_out((terms, idf))
+    indexed = cut.mapInArrow(_index(vocabulary), _INDEXED)
     own = labels.select("doc_id", F.lower(F.trim("subject")).alias("area")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("area").alias("area")).where("n = 1").drop("n")
-    indexed = materialise(indexed.join(own, "doc_id", "left").select("doc_id", "lang", "terms", "lens", "area"), "p9-index")
+    indexed = materialise(indexed.join(own, "doc_id", "left").select("doc_id", "lang", "terms", "lens", "used", "weights", "area"), "p9-index")
+    vocabulary.destroy()
+    discard(cut)
 
     spread = max(1, math.isqrt(max(1, indexed.rdd.getNumPartitions())))
 
     # truncated SVD by subspace iteration
-    rank = min(rank, len(terms))
-    basis = np.linalg.qr(np.random.default_rng(0).standard_normal((len(terms), rank)))[0].astype(np.float32)
+    rank = min(rank, len(idf))
+    basis = np.linalg.qr(np.random.default_rng(0).standard_normal((len(idf), rank)))[0].astype(np.float32)
     for _ in range(POWER_PASSES):
-        basis = np.linalg.qr(_summed(indexed.select("terms"), _add_power, (len(terms), rank), spread, share_out({"idf": idf, "basis": basis})))[0].astype(np.float32)
+        basis = np.linalg.qr(_summed(indexed.select("used", "weights"), _add_power, (len(idf), rank), spread, share_out({"basis": basis})))[0].astype(np.float32)
+    model = {"basis": basis}
+    vectors = share_out(model)
+    embedded = materialise(indexed.select("doc_id", "lang", "area", "used", "weights").mapInArrow(_embed(vectors), "doc_id long, lang string, area string, vector binary"), "p9-vectors")
+    vectors.destroy()
 
     # seeds
     lower = {s.lower().strip(): i for i, s in enumerate(names)}
-    spoken = {r["lang"]: r["count"] for r in indexed.where("area is not null").groupBy("lang").count().collect()}
+    spoken = {r["lang"]: r["count"] for r in embedded.where("area is not null").groupBy("lang").count().collect()}
     languages = sorted(x for x in spoken if x) or [""]
     slots = spark.createDataFrame([(a, s, i * len(languages) + j) for a, i in lower.items() for j, s in enumerate(languages)], T.StructType([T.StructField("area", T.StringType()), T.StructField("slot_lang", T.StringType()), T.StructField("seed", T.IntegerType())]))
     lang = F.lit("") if languages == [""] else F.col("lang")
-    seeded = indexed.where("area is not null").withColumn("slot_lang", lang).join(F.broadcast(slots), ["area", "slot_lang"]).select("terms", "seed")
+    seeded = embedded.where("area is not null").withColumn("slot_lang", lang).join(F.broadcast(slots), ["area", "slot_lang"]).select("vector", "seed")
     size = (len(names) * len(languages), rank)
-    model = {"idf": idf, "basis": basis}
-    centroids = _summed(seeded, _add_seeds, size, spread, share_out(model))
+    centroids = _summed(seeded, _add_seeds, size, spread, share_out({}))
     described = languages.index("en") if "en" in languages else 0
     slot, read = {t: i for i, t in enumerate(terms)}, Sentences()
     for r in areas.where("subject is not null").collect():
-        known = [slot[w] for w in read.terms(f"{r['subject']} {r['description'] or ''}") if w in slot]
-        if known:
-            centroids[names.index(r["subject"]) * len(languages) + described] += _unit(_embedded(np.array(known), np.zeros(len(known), int), 1, model))[0]
+        known = np.array([slot[w] for w in read.terms(f"{r['subject']} {r['description'] or ''}") if w in slot], int)
+        if len(known):
+            at, own, weight = _weighted(known, np.zeros(len(known), int), 1, idf)
+            centroids[names.index(r["subject"]) * len(languages) + described] += _unit(_embedded(own, at, weight, 1, basis))[0]
     alive = np.flatnonzero(np.linalg.norm(centroids, axis=1) > 0)
     if not len(alive):
         return none
@@ -342,12 +409,12 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, ran
 
     def refine() -> None:
         for _ in range(REFINE_PASSES):
-            sums = _summed(indexed.select("terms"), _add_nearest, centroids.shape, spread, share_out(model | {"centroids": centroids}))
+            sums = _summed(embedded.select("vector"), _add_nearest, centroids.shape, spread, share_out({"centroids": centroids}))
             moved = np.linalg.norm(sums, axis=1) > 0
             centroids[moved] = _unit(sums[moved])
 
     for _ in range(OUTSIDE_PASSES):
-        sums = _summed(indexed.select("terms"), _add_outside, (len(languages), rank), spread, share_out(model | {"centroids": centroids, "axes": _axes(centroids), "language": language}))
+        sums = _summed(embedded.select("vector"), _add_outside, (len(languages), rank), spread, share_out({"centroids": centroids, "axes": _axes(centroids), "language": language}))
         new = np.flatnonzero(np.linalg.norm(sums, axis=1) > 2)
         centroids = np.vstack([centroids, _unit(sums[new])])
         area, language = np.concatenate([area, np.full(len(new), -1)]), np.concatenate([language, new])
@@ -364,12 +431,13 @@ def subject_areas(documents: DataFrame, areas: DataFrame, labels: DataFrame, ran
     rare = [j for j, x in enumerate(languages) if x and spoken[x] < RARE * sum(spoken.values())]
     if rare:
         places = spark.createDataFrame([(languages[j], i) for i, j in enumerate(rare)], "lang string, seed int")
-        sums = _summed(indexed.join(F.broadcast(places), "lang").select("terms", "seed"), _add_seeds, (len(rare), rank), spread, share_out(model))
+        sums = _summed(embedded.join(F.broadcast(places), "lang").select("vector", "seed"), _add_seeds, (len(rare), rank), spread, share_out({}))
         for j, mean in zip(rare, _unit(sums), strict=True):
             for k in np.flatnonzero(language == j):
                 own = seeds[k] if area[k] >= 0 else centroids[k]
                 left = own - (own @ mean) * mean
                 centred[k] = _unit(left) if np.linalg.norm(left) >= DISTINCT else 0
+    discard(embedded)
     axes = _axes(centred)
     final = {"idf": idf, "basis": basis, "axes": axes, "centred": (centred @ axes).astype(np.float32), "areas": area, "names": names, "share": share}
     return indexed.select("doc_id", "lang", "terms", "lens").mapInArrow(_assign(share_out(final)), _RESULT)

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.articles import STOP_WORDS, TERM, article_count, latest_articles
-from lexmill.operators.skew import heavy_counts, skew_join
+from lexmill.operators.skew import fits_broadcast, heavy_counts, skew_join
 from lexmill.session import materialise
 
 #: Global weights of so many terms at most are broadcast (those of highest df); terms beyond are joined by a shuffle.
-MAX_BROADCAST_TERMS = 200_000
+MAX_BROADCAST_TERMS = 20_000
 
 
 @dataclass
@@ -49,7 +49,8 @@ TF_IDF = "tf * idf"
 
 
 def _with_terms(w: TermWeights, columns: list[str], max_broadcast: int) -> list[DataFrame]:
-    """The counts with ``columns`` of their terms; in two parts if the terms are too many to broadcast."""
+    """The counts with ``columns`` of their terms; in two parts if the terms are too many to broadcast: the hottest, which hold most
+    counts, are, and the counts of the others meet them by a shuffle."""
     terms = w.terms.select("term", *columns)
     if w.n_terms <= max_broadcast:
         return [w.counts.join(F.broadcast(terms), "term")]
@@ -58,7 +59,6 @@ def _with_terms(w: TermWeights, columns: list[str], max_broadcast: int) -> list[
     return [w.counts.join(hot, "term"), w.counts.join(F.broadcast(hot.select("term")), "term", "left_anti").join(terms.join(F.broadcast(hot.select("term")), "term", "left_anti"), "term")]
 
 
-
 def weighted_terms(w: TermWeights, max_broadcast: int = MAX_BROADCAST_TERMS) -> DataFrame:
     """Every (article, term) with its weights: ``(article_id, term, tf, df, log_entropy, tf_idf)``."""
     out = None
@@ -103,4 +103,7 @@ def most_distinctive(w: TermWeights, scheme: str = TF_IDF, max_broadcast: int =
     top = best.groupBy("article_id").agg(F.max("packed").alias("packed"))
     micro = F.ceil(F.col("packed") / step)
     top = top.select("article_id", micro.cast("long").alias("micro"), (micro * step - F.col("packed")).cast("long").alias("pos"))
-    return top.join(w.terms.select("pos", "term"), "pos").select("article_id", "term", (F.col("micro") / 1e6).alias("weight"))
+    names = w.terms.select("pos", "term")
+    if not fits_broadcast(names):
+        top = materialise(top, "p6-best")  # read twice, to find the terms that are best for very many articles
+    return skew_join(top, names, "pos").select("article_id", "term", (F.col("micro") / 1e6).alias("weight"))

@@ -74,7 +74,7 @@ def test_against_brute_force(spark):
         near = [t for t in catalog if t == v] or [t for t in catalog if one_edit(v, t) and min(len(v), len(t)) >= 4]
         if len(near) == 1:
             expected[v] = near[0]
-    found = match(spark, sorted(values), catalog)
+    found = match(spark, sorted(values), catalog, letters=4)
     assert {v: t for v, (t, _) in found.items() if len(v) >= 4} == {v: t for v, t in expected.items() if len(v) >= 4}
 
 
