@@ -115,7 +115,12 @@ def _params(args) -> HybridParams:
 def _searcher(store: Store, args) -> Callable[[DataFrame, HybridParams], DataFrame]:
     tables = store.read("vocabulary"), store.read("inverted_index"), store.read("pagerank"), store.read("article")
     qa.validate_index(tables[0], tables[1])
-    return lambda queries, params: search.search_hybrid(queries, *tables, params, tokenizer(args.tokenizer))
+
+    def find(queries: DataFrame, params: HybridParams | list[HybridParams]) -> DataFrame:
+        run = search.search_grid if isinstance(params, list) else search.search_hybrid
+        return run(queries, *tables, params, tokenizer(args.tokenizer))
+
+    return find
 
 
 def run_search(store: Store, args) -> list:
@@ -167,7 +172,7 @@ def evaluate_search(store: Store, args) -> dict:
     find = _searcher(store, args)
     numbers = lambda text: [float(x) for x in text.split(",") if x.strip()]
     grid = evaluate.parameter_grid(alpha=numbers(args.alphas), coverage_bonus=numbers(args.bonuses), limit=[max(20, args.k)], partial_boost=[not args.no_partial_boost])
-    rows = materialise(evaluate.grid_search(lambda p: find(queries, p), grid, relevant, args.k), "grid")
+    rows = materialise(evaluate.grid_search(find(queries, grid), grid, relevant, args.k), "grid")
     out = {"k": args.k, "grid_results": [r.asDict() for r in rows.orderBy("grid_order").collect()]}
     out |= {f"best_by_{m}": evaluate.best_by(rows, m).first().asDict() for m in ("ndcg", "mrr")}
     if args.out:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,16 +60,18 @@ def parameter_grid(**options: list) -> list[HybridParams]:
     return [HybridParams(**dict(zip(options, values, strict=True))) for values in product(*options.values())]
 
 
-def grid_search(search, grid: list[HybridParams], relevant: DataFrame, k: int = 10) -> DataFrame:
+def grid_search(results: DataFrame, grid: list[HybridParams], relevant: DataFrame, k: int = 10) -> DataFrame:
     """Mean metrics for each parameter set: ``(grid_order, alpha, max_candidates, coverage_bonus, policy, n_queries, ...)``.
 
-    ``search(params)`` gives the results of all queries. The grid is a short list, so the plan is a union of searches.
+    ``results`` are those of :func:`lexmill.operators.search.search_grid`, one search for all sets; ``relevant`` is repeated
+    for each set, of which there are few. A set without any relevant title has no row.
     """
-    rows = []
-    for i, p in enumerate(grid):
-        one = mean_metrics(query_metrics(relevances(search(p), relevant), relevant, k))
-        rows.append(one.select(F.lit(i).alias("grid_order"), F.lit(p.alpha).alias("alpha"), F.lit(p.max_candidates).alias("max_candidates"), F.lit(p.coverage_bonus).alias("coverage_bonus"), F.lit(p.policy).alias("policy"), "n_queries", *METRICS))
-    return reduce(DataFrame.unionByName, rows)
+    both = F.struct("point", "query_id").alias("query_id")
+    truth = relevant.withColumn("point", F.explode(F.array(*[F.lit(i) for i in range(len(grid))]))).select(both, "title")
+    metrics = query_metrics(relevances(results.select(both, "rank", "title"), truth), truth, k)
+    means = metrics.groupBy(F.col("query_id.point").alias("grid_order")).agg(F.count(F.lit(1)).alias("n_queries"), *(F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in METRICS))
+    of = lambda name: F.element_at(F.array(*[F.lit(getattr(p, name)) for p in grid]), F.col("grid_order") + 1).alias(name)
+    return means.select("grid_order", of("alpha"), of("max_candidates"), of("coverage_bonus"), of("policy"), "n_queries", *METRICS)
 
 
 def best_by(grid: DataFrame, metric: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.skew import fits_broadcast, heavy_counts, salted, skew_join
-from lexmill.session import materialise
+from lexmill.session import materialise, materialise_by
 
 #: Reference field -> name space of its key.
 FIELDS = {"from_article": "article", "from_page_id": "page", "to_article": "article", "to_title": "title"}
@@ -109,12 +109,19 @@ def check_references(links: DataFrame, articles: DataFrame, deletions: DataFrame
     references. Empty tables give no rows (no articles: every reference is an orphan).
     """
     moments = materialise(existence_moments(existence_deltas(articles, deletions)), "moments")
+    counts = existence_counts(moments).select("space", "key", "first", (F.col("n_lost") > 0).alias("lossy"))
+    counts = materialise_by(counts, "space", list(SPACES), "counts")
     once = materialise(first_links(links), "links")
-    counts = {s: existence_counts(moments.where(F.col("space") == s)) for s in SPACES}
+    lossy = reduce(DataFrame.unionByName, [c.where("lossy").select(F.lit(s).alias("space"), "key") for s, c in counts.items()])
+    # an interval has a row for each month it touches, up to the last reference
+    last = F.broadcast(once.agg(F.max("loaded_at").alias("last")))
+    months = F.sequence(F.trunc("since", "MM"), F.trunc(F.least(F.coalesce("until", "last"), F.col("last")), "MM"), F.expr("interval 1 month"))
+    spells = existence_intervals(moments.join(lossy, ["space", "key"], "left_semi"))
+    spells = spells.join(last, spells["since"] <= F.col("last")).select("space", F.col("key").alias("held"), F.explode(months).alias("of_month"), "since", "until")
+    spells = materialise_by(spells, "space", list(SPACES), "spells")
     heavy: dict[str, dict] = {f: {} for f in FIELDS}
-    if not all(map(fits_broadcast, counts.values())):
+    if not all(map(fits_broadcast, [*counts.values(), *spells.values()])):
         heavy = heavy_counts(links, *FIELDS)[1]
-    last = F.broadcast(once.agg(F.max("loaded_at").alias("last")))
     parts = []
     for space in SPACES:
         fields = [f for f, s in FIELDS.items() if s == space]
@@ -126,20 +133,19 @@ def check_references(links: DataFrame, articles: DataFrame, deletions: DataFrame
         refs = refs.where("key is not null")
         kind = refs.schema["key"].dataType
         hot = dict(reduce(Counter.__add__, (Counter(heavy[f]) for f in fields)))
-        own = counts[space].select(F.col("key").cast(kind).alias("key"), "first", (F.col("n_lost") > 0).alias("lossy"))
-        judged = skew_join(refs, own, "key", "left", heavy=hot)
-        early = F.coalesce(F.col("loaded_at") < F.col("first"), F.lit(True))
-        clear = judged.where("not coalesce(lossy, false)").select("link_id", "ref_field", "loaded_at", early.alias("orphan"))
-        unclear = judged.where("lossy").select("link_id", "ref_field", "key", "loaded_at", F.trunc("loaded_at", "MM").alias("month"))
-        lossy = counts[space].where("n_lost > 0").select("space", "key")
-        spells = existence_intervals(moments.where(F.col("space") == space).join(lossy, ["space", "key"], "left_semi"))
-        # an interval has a row for each month it touches, up to the last reference
-        months = F.sequence(F.trunc("since", "MM"), F.trunc(F.least(F.coalesce("until", "last"), F.col("last")), "MM"), F.expr("interval 1 month"))
-        spells = spells.join(last, spells["since"] <= F.col("last")).select(F.col("key").cast(kind).alias("key"), F.explode(months).alias("month"), "since", "until")
-        a, b = salted(unclear, spells, "key", hot)
+        judged = skew_join(refs, counts[space].withColumn("key", F.col("key").cast(kind)), "key", "left", heavy=hot).withColumn("month", F.trunc("loaded_at", "MM"))
+        own = spells[space].withColumn("held", F.col("held").cast(kind))
         inside = (F.col("loaded_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("loaded_at") < F.col("until")))
-        held = a.join(b, [*(a[c] == b[c] for c in ("key", "month", "__salt")), inside], "left").select("link_id", "ref_field", "loaded_at", F.col("since").isNull().alias("orphan"))
-        out = clear.unionByName(held)
+        same = (F.col("key") == F.col("held")) & (F.col("month") == F.col("of_month")) & inside
+        early = F.coalesce(F.col("loaded_at") < F.col("first"), F.lit(True))
+        row = ["link_id", "ref_field", "loaded_at"]
+        if fits_broadcast(own):
+            out = judged.join(F.broadcast(own), same & F.col("lossy"), "left").select(*row, F.when(F.col("lossy"), F.col("since").isNull()).otherwise(early).alias("orphan"))
+        else:
+            # only references to lossy keys are shuffled again
+            a, b = salted(judged.where("lossy"), own.withColumn("key", F.col("held")), "key", hot)
+            held = a.join(b.drop("key"), same & (a["__salt"] == b["__salt"]), "left").select(*row, F.col("since").isNull().alias("orphan"))
+            out = judged.where("not coalesce(lossy, false)").select(*row, early.alias("orphan")).unionByName(held)
         parts.append(out.where("orphan") if orphans_only else out)
     return reduce(DataFrame.unionByName, parts)
 

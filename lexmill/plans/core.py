@@ -27,6 +27,11 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
     return corpus.current_articles(table(spark, d, "article"))
 
 
+def names(spark: SparkSession, d: str) -> DataFrame:
+    """The current articles without their texts."""
+    return corpus.current_columns(table(spark, d, "article"), "page_id", "title")
+
+
 def n_articles(spark: SparkSession, d: str) -> int:
     return table(spark, d, "article").select("article_id").distinct().count()
 
@@ -139,12 +144,12 @@ def top_postings_per_term(spark, d):
 
 @query
 def resolve_links(spark, d):
-    return links.resolve_links(table(spark, d, "internal_link"), articles(spark, d)).select("link_id", "from_article", "to_article", "updated")
+    return links.resolve_links(table(spark, d, "internal_link"), names(spark, d)).select("link_id", "from_article", "to_article", "updated")
 
 
 @query
 def resolved_link_counts(spark, d):
-    return links.link_counts(links.resolve_links(table(spark, d, "internal_link"), articles(spark, d)))
+    return links.link_counts(links.resolve_links(table(spark, d, "internal_link"), names(spark, d)))
 
 
 @query
@@ -184,7 +189,7 @@ def article_detail(spark, d):
 
 @query
 def admin_search_titles(spark, d):
-    return links.search_titles(articles(spark, d), "academy").select("article_id", "title")
+    return links.search_titles(names(spark, d), "academy").select("article_id", "title")
 
 
 @query
@@ -234,7 +239,7 @@ def pagerank_run(spark, d):
 
 @query
 def pagerank_top10(spark, d):
-    return graph.top_articles(corpus.current_ranks(table(spark, d, "pagerank")), articles(spark, d)).withColumn("score", F.round("score", 9))
+    return graph.top_articles(corpus.current_ranks(table(spark, d, "pagerank")), names(spark, d)).withColumn("score", F.round("score", 9))
 
 
 @query
@@ -269,7 +274,7 @@ def _index(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def titles(spark, d) -> DataFrame:
     """Ids and titles of the articles; an article's title is that of its latest load."""
-    return articles(spark, d).select("article_id", "title")
+    return names(spark, d).select("article_id", "title")
 
 
 def _searching(params: HybridParams) -> Callable:
@@ -317,7 +322,7 @@ def _grid(spark, d) -> DataFrame:
     queries, relevant = materialise(queries, "queries"), materialise(_relevant(spark, d), "relevant")
     vocab, postings, ranks = _index(spark, d)
     postings, names = materialise(postings, "postings"), materialise(titles(spark, d), "titles")
-    rows = evaluate.grid_search(lambda p: search.search_hybrid(queries, vocab, postings, ranks, names, p), [replace(p, policy="balanced") for p in GRID], relevant)
+    rows = evaluate.grid_search(search.search_grid(queries, vocab, postings, ranks, names, GRID), GRID, relevant)
     return rows.select("grid_order", "alpha", "coverage_bonus", "n_queries", *[F.round(m, 6).alias(m) for m in evaluate.METRICS])
 
 
@@ -526,12 +531,12 @@ def large_value_percent(spark, d):
 
 @query
 def sample_queries_seeded(spark, d):
-    return stats.sample(articles(spark, d).select("article_id", "title"), "article_id", 100, seed=42)
+    return stats.sample(titles(spark, d), "article_id", 100, seed=42)
 
 
 @query
 def random_articles(spark, d):
-    return stats.two_random(articles(spark, d), seed=7)
+    return stats.two_random(titles(spark, d), seed=7)
 
 
 # --- integrity ---

@@ -102,7 +102,7 @@ def stored_tables(spark: SparkSession, d: str) -> DataFrame:
     for name in ("article", "vocabulary", "internal_link", "inverted_index", "pagerank"):
         store.write(name, table(spark, d, name))
     store.write("inverted_index", core._index(spark, d)[1], sort=["term", "tf_idf_score"], partitions=4)
-    store.write("internal_link", links.resolve_links(store.read("internal_link"), core.articles(spark, d)).where("updated").drop("updated"))
+    store.write("internal_link", links.resolve_links(store.read("internal_link"), core.names(spark, d)).where("updated").drop("updated"))
     store.truncate("pagerank")
     gone = store.read("pagerank").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("pagerank").alias("table_name"), "n_rows")
     return store.statistics().select("table_name", "n_rows").unionByName(gone)

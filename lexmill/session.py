@@ -73,6 +73,24 @@ def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
     return kept
 
 
+def materialise_by(df: DataFrame, column: str, values: list[str], tag: str = "t") -> dict[str, DataFrame]:
+    """:func:`materialise` with a table of its own for each of ``values`` of ``column``, without that column.
+
+    Spark then knows the size of each. Rows with other values are not written.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    path = f"{scratch_dir(spark)}/lexmill-{tag}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_release_quietly, spark)
+    _WRITTEN.append(path)
+    df.where(df[column].isin(values)).write.partitionBy(column).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs, own = at(path).getFileSystem(spark._jsc.hadoopConfiguration()), df.drop(column).schema
+    folders = {v: f"{path}/{column}={v}" for v in values}
+    return {v: spark.read.schema(own).parquet(f) if fs.exists(at(f)) else spark.createDataFrame([], own) for v, f in folders.items()}
+
+
 def discard(df: DataFrame) -> None:
     """Remove the table behind a frame that :func:`materialise` gave; frames that still read it can no longer be run."""
     path = getattr(df, "_lexmill_path", None)
