@@ -227,7 +227,7 @@ def sweep(store: Store, args) -> list:
             done = load_dump(own, argparse.Namespace(root=args.root, limit=limit, tokenizer=args.tokenizer, profile=None))
             took = time.time() - began
             own.remove()
-            rows.append({"limit": limit, "shuffle_partitions": partitions, "articles": done["articles"], "seconds": round(took, 3), "articles_per_s": round(done["articles"] / took, 1), **done["seconds"]})
+            rows.append({"limit": limit, "shuffle_partitions": partitions, "articles": done["articles"], "seconds": round(took, 3), "articles_per_s": round(done["articles"] / took, 1), **{f"{k}_s": v for k, v in done["seconds"].items()}})
     if args.out:
         with open(args.out, "w", encoding="utf-8", newline="") as file:
             writer = csv.DictWriter(file, list(rows[0]))
