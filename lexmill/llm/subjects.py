@@ -260,7 +260,7 @@ def _summed(documents: DataFrame, add: Callable, shape: tuple[int, int], spread:
 
 
 def _add_power(total, batches, model):
-    for batch, flat, row, weight in _chunks(batches):
+    for batch, flat, row, weight in _chunks(batches, 64):
         x, used = _dense(row, flat, weight, batch.num_rows)
         total[used] += x.T @ (x @ model["basis"][used])
 
@@ -307,17 +307,15 @@ def _assign(shared):
                 of = np.repeat(np.arange(batch.num_rows), n_sentences)  # the document of each sentence
                 where, term = np.divmod(np.unique(sentence * n_terms + flat), n_terms)
                 about = np.full(len(lens), -1)
-                for start in range(0, len(lens), 4000):  # in steps, so that very long texts stay small
-                    a, b = np.searchsorted(where, [start, start + 4000])
-                    if a == b:
-                        continue
-                    begins = np.flatnonzero(np.diff(where[a:b], prepend=-1))
-                    e = np.add.reduceat(vectors[term[a:b]], begins)  # every sentence has terms
+                steps = np.arange(0, len(lens), 128)  # few sentences have few terms, so that the matrices stay small
+                for start, a, b in zip(steps, np.searchsorted(where, steps), np.searchsorted(where, steps + 128), strict=True):
+                    x, used = _dense(where[a:b] - start, term[a:b], 1.0, min(128, len(lens) - start))
+                    e = x @ vectors[used]
                     inside = e @ axes
                     cosine = _unit(inside) @ model["centred"].T
                     best = cosine.argmax(1)
                     clear = (np.linalg.norm(inside, axis=1) >= SENTENCE_LENGTH * np.linalg.norm(e, axis=1)) & (cosine[np.arange(len(best)), best] >= SENTENCE_COSINE)
-                    about[where[a:b][begins]] = np.where(clear, areas[best], -1)
+                    about[start : start + 128] = np.where(clear, areas[best], -1)
                 told = about >= 0
                 counts = np.bincount(of[told] * n_areas + about[told], minlength=batch.num_rows * n_areas).reshape(-1, n_areas)
                 doc, area = np.nonzero((counts >= model["share"] * n_sentences[:, None]) & (counts > 0))
