@@ -55,7 +55,7 @@ def _plain(value: str) -> str:
             v = f"replace({v}, '{char}', '{two}')"
     for pattern, to in (("([^#])#[a-z].*$", "\\1"), (f"^[^a-z0-9]*{PREFIX}[ _]*:", ""), ("[’‘`´]", "'"), ("'s([^a-z0-9]|$)", " s\\1")):
         v = f"regexp_replace({v}, {_text(pattern)}, {_text(to)}, 'g')"
-    return f"regexp_replace(trim(regexp_replace(replace({v}, '&', ' and '), '[^a-z0-9]+', ' ', 'g')), '^the ', '')"
+    return f"regexp_replace(trim(regexp_replace(replace({v}, '&', ' and '), '[^a-z0-9#]+', ' ', 'g')), '^the ', '')"
 
 
 def _forms(source: str, key: str, value: str) -> str:

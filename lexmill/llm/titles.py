@@ -63,7 +63,7 @@ def plain(value: Column) -> Column:
     """Lower-case Latin words of a title, one space apart, with its wrapping removed; null gives null.
 
     Undone: percent encoding (with + for a space, only if a %xx or a + but no space occurs), character references,
-    underscores, look-alike letters, accents, a fragment (``#`` after a title and before a letter), a link prefix of
+    underscores, look-alike letters, accents, a fragment (``#`` after a title and before a letter; any other ``#`` is part of the name), a link prefix of
     ``PREFIX`` before a colon, quotes and brackets, curly or straight, a leading article, and ``&`` for ``and``.
     """
     v = F.when(value.rlike("%[0-9A-Fa-f]{2}") | (value.contains("+") & ~value.contains(" ")), F.coalesce(F.try_url_decode(value), value)).otherwise(value)
@@ -80,7 +80,7 @@ def plain(value: Column) -> Column:
     v = F.regexp_replace(v, "[’‘`´]", "'")
     v = F.regexp_replace(v, "'s([^a-z0-9]|$)", " s$1")
     v = F.replace(v, F.lit("&"), F.lit(" and "))
-    v = F.trim(F.regexp_replace(v, "[^a-z0-9]+", " "))
+    v = F.trim(F.regexp_replace(v, "[^a-z0-9#]+", " "))
     return F.regexp_replace(v, "^the ", "")
 
 
